@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborist.llm import decontaminate, quality, sharding, simhash
+from arborist.llm import decontaminate, packing, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents packed as op1 returns them."""
+    import public_tokenizers
+
+    made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    slim = made.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(slim, docs.count())
+
+
+def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -43,6 +56,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit": op1_best_fit,
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op7_kd_shards": op7_kd_shards,
