@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborist.llm import decontaminate, packing, quality, sharding, simhash
+from arborist.llm import decontaminate, licences, packing, quality, sentences, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentences.dedup(docs).withColumnRenamed("clean_text", "text")
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"), leaves=24)
     return found.select(
@@ -55,12 +60,26 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    names = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(c, lambda s: s["label"]) for c in cols]))), ",")
+    starts = F.transform("base", lambda s: s["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        names("base").alias("base_labels"), names("base", "spans").alias("labels"),
+        F.coalesce(F.array_max(F.transform(F.concat("base", "spans"), lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit": op1_best_fit,
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
+    "op5_sentence_spans": op5_sentence_spans,
     "op7_kd_shards": op7_kd_shards,
     "op8_decontaminate": op8_decontaminate,
+    "op9_licences": op9_licences,
 }
 
 ORACLES: dict[str, str] = {
