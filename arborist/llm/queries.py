@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborist.llm import decontaminate, licences, packing, quality, sentences, sharding, simhash
+from arborist.llm import decontaminate, html, licences, packing, quality, sentences, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_html_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    text = F.array_join("blocks", " ")
+    return found.select("page_id", "url", text.alias("text"), F.char_length(text).cast("bigint").alias("n_chars"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -75,6 +81,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit": op1_best_fit,
     "op2_quality": op2_quality,
+    "op3_html_field": op3_html_field,
     "op4_simhash": op4_simhash,
     "op5_sentence_spans": op5_sentence_spans,
     "op7_kd_shards": op7_kd_shards,
