@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborist.llm import decontaminate, html, licences, packing, quality, sentences, sharding, simhash
+from arborist.llm import chat, decontaminate, html, licences, packing, quality, sentences, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.dedup(docs).withColumnRenamed("clean_text", "text")
 
 
+def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"), leaves=24)
     return found.select(
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_field": op3_html_field,
     "op4_simhash": op4_simhash,
     "op5_sentence_spans": op5_sentence_spans,
+    "op6_role_repair": op6_role_repair,
     "op7_kd_shards": op7_kd_shards,
     "op8_decontaminate": op8_decontaminate,
     "op9_licences": op9_licences,
