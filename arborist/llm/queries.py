@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborist.llm import chat, decontaminate, html, licences, packing, quality, sentences, sharding, simhash
+from arborist.llm import chat, decontaminate, html, licences, packing, quality, sentences, sharding, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,14 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit": op1_best_fit,
     "op2_quality": op2_quality,
@@ -92,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_kd_shards": op7_kd_shards,
     "op8_decontaminate": op8_decontaminate,
     "op9_licences": op9_licences,
+    "op10_suffix_arrays": op10_suffix_arrays,
 }
 
 ORACLES: dict[str, str] = {
