@@ -22,7 +22,7 @@ SEQUENCE = 2048
 #: Shorter pieces in a group, and the rows at which a group of a hot hash is closed.
 GROUP, MOST = 8192, 32768
 #: Words kept with their ids by a worker; the store is emptied when it is full.
-MEMO = 600_000
+MEMO = 1_200_000
 
 _TOKENIZERS: dict[str, WordIds] = {}  # of this worker, by path
 
