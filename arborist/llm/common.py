@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -30,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner delete shuffle files that nothing refers to any more, now rather than at its next turn.
+
+    After a lineage has been cut, its shuffles are garbage on the driver; executors keep the files until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def space_words(text: bytes | None) -> list[bytes]:
     """Lower-cased (A-Z) words between ASCII white space, as UTF-8 bytes; null has none."""
     return text.lower().split() if text else []

@@ -15,7 +15,7 @@ from arborist.llm.common import binary
 
 #: Columns of a place: two key halves, the document's id and tie-breaker, the place in it, and whether it is known to be repeated.
 PLACES = "a bigint, b bigint, doc bigint, tie bigint, pos bigint, seen boolean"
-_NULL = -(2**63)
+NULL_ID = -(2**63)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -23,12 +23,16 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ids = docs.select(F.col(id_col).cast("bigint").alias("i"))
     unique = ids.groupBy("i").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     tie = F.lit(0).cast("bigint") if unique else F.xxhash64(text_col)
-    return docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL)).alias("__doc"), tie.alias("__tie"), binary(text_col).alias("__text"))
+    return docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("__doc"), tie.alias("__tie"), binary(text_col).alias("__text"))
 
 
 def local_firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Places of one block: each key's first as it is, the others as seen, their keys replaced by a hash of the place."""
-    order = np.lexsort((pos, tie, doc, b, a))
+    order = np.argsort(a)
+    same = a[order][1:] == a[order][:-1]
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((pos[rows], tie[rows], doc[rows], b[rows], a[rows]))]
     a, b, doc, tie, pos = (x[order] for x in (a, b, doc, tie, pos))
     n = len(a)
     start = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][:n]

@@ -22,17 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborist.llm.common import arrow_rows, cut
-from arborist.llm.repeats import PLACES, keyed, local_firsts
+from arborist.llm.common import arrow_rows, cut, release
+from arborist.llm.repeats import NULL_ID, PLACES, keyed, local_firsts
 
 WINDOW, KMER = 100, 32
 #: Bytes of text hashed at a time, and bytes of contexts in one suffix array.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 1 << 20
+BLOCK_BYTES, SHARD_BYTES = 1 << 19, 1 << 20
 #: Anchors with more differing contexts than this compare their windows by hash, grouped by Spark.
 HOT_CONTEXTS = 1 << 16
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_ODD = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+_powers: list[np.ndarray] = []  # of the base and of its inverse, as long as was needed
+
+
+def _power(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) <= n:
+        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n, 2 * BLOCK_BYTES), x)]) for x in (_BASE, _INVERSE)]
+    return _powers
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -64,6 +72,10 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+#: A random-looking value for each byte.
+_BYTES = _mixed(np.arange(256, dtype=np.uint64) + np.uint64(0x1234567))
+
+
 class Anchors:
     """Anchors of a block of texts laid end to end, with their contexts."""
 
@@ -80,10 +92,12 @@ class Anchors:
         if not (sizes >= window).any():
             return
         words = _words(data)
-        key = np.zeros(n, np.uint64)
-        for k in range(0, kmer, 8):
+        words = _mixed(words)
+        key = words[:n] * _ODD[0]
+        for j, k in enumerate(range(8, kmer, 8), 1):
             at = min(k, kmer - 8)
-            key = _mixed(key + words[at : at + n])
+            key += words[at : at + n] * _ODD[j % 4]
+        key ^= key >> np.uint64(31)
         # windows that lie in one text; a k-mer that crosses a boundary is in none of them
         low = (key & ~np.uint64(0xFFFFFFFF)) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))
         best = _sliding_min(low, width)
@@ -100,13 +114,8 @@ class Anchors:
         self.start = starts
         self.anchor = key[at]
         # hash of a context: a difference of weighted prefix sums, brought to weight one
-        power = np.empty(n + 1, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(np.full(n, _BASE), out=power[1:])
-        inverse = np.empty(n + 1, np.uint64)
-        inverse[0] = 1
-        np.multiply.accumulate(np.full(n, _INVERSE), out=inverse[1:])
-        values = _mixed(data[:n].astype(np.uint64) + np.uint64(0x1234567))
+        power, inverse = _power(n)
+        values = _BYTES[data[:n]]
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(values * power[:n], out=total[1:])
         a, b = at - self.left, at + self.right
@@ -382,39 +391,57 @@ def spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot: int = HO
         docs.select("__doc", "__tie", "__text").mapInArrow(places, PLACES)
         .repartition(tasks, "a").sortWithinPartitions("a", "seen", "b", "doc", "tie", "pos")
         .mapInArrow(classes, "doc bigint, tie bigint, pos bigint, anchor bigint, dispute boolean")
-        .groupBy("doc", "tie")
-        .agg(F.collect_set(F.struct("pos", "anchor", "dispute")).alias("places"))
+        .groupBy(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"))
+        .agg(
+            F.collect_list(F.when(~F.col("dispute"), F.col("pos"))).alias("whole"),
+            F.collect_list(F.when(F.col("dispute"), F.col("pos"))).alias("pos"),
+            F.collect_list(F.when(F.col("dispute"), F.col("anchor"))).alias("anchor"),
+        )
     )
     flagged = cut(flagged)
-    joined = docs.join(flagged.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), "places"), ["__doc", "__tie"]).select(
-        "__doc", "__tie", "__text", "places"
-    )
+    release(spark)
+
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans of neighbouring whole contexts; their ends are cut to the text later."""
+        for batch in batches:
+            lists = batch.column(2)
+            place = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((place, row))
+            row, place = row[order], place[order]
+            if not len(row):
+                continue
+            new = np.r_[True, (row[1:] != row[:-1]) | (place[1:] - place[:-1] > window + width - 1)]
+            first = np.flatnonzero(new)
+            last = np.r_[first[1:], len(row)] - 1
+            doc, tie = (batch.column(k).to_numpy(zero_copy_only=False)[row[first]] for k in range(2))
+            found = (doc, tie, np.maximum(place[first] - width + 1, 0), place[last] + window)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc", "tie", "start", "end"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole contexts as spans (no anchor), and the bytes of those in dispute."""
+        """The bytes of every context in dispute."""
         for batch in arrow_rows(batches):
-            out: list[tuple] = []
-            for d, t, text, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                n = len(text)
-                whole: list[list[int]] = []
-                for place in sorted(found, key=lambda x: x["pos"]):
-                    p = place["pos"]
-                    a, b = max(0, p - width + 1), min(n, p + window)
-                    if place["dispute"]:
-                        out.append((d, t, a, b, place["anchor"], text[a:b]))
-                    elif whole and a <= whole[-1][1]:
-                        whole[-1][1] = b
-                    else:
-                        whole.append([a, b])
-                out += [(d, t, a, b, None, None) for a, b in whole]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["doc", "tie", "start", "end", "anchor", "bytes"])
-
-    found = cut(joined.mapInArrow(contexts, f"{_SPANS}, anchor bigint, bytes binary"))
-    whole = found.where("anchor IS NULL").select("doc", "tie", "start", "end")
-    disputed = found.where("anchor IS NOT NULL")
-    crowded = disputed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
+            lists = batch.column(3)
+            place, anchor = lists.flatten().to_numpy(), batch.column(4).flatten()
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            a, parts, at = np.maximum(place - width + 1, 0), [], 0
+            for text, n in zip(batch.column(2).to_pylist(), sizes.tolist(), strict=True):
+                parts += [text[x : y + window] for x, y in zip(a[at : at + n].tolist(), place[at : at + n].tolist(), strict=True)]
+                at += n
+            doc, tie = (batch.column(k).take(pa.array(row)) for k in range(2))
+            yield pa.RecordBatch.from_arrays([doc, tie, pa.array(a), anchor, pa.array(parts, pa.binary())], names=["doc", "tie", "start", "anchor", "bytes"])
+
+    whole = flagged.select("__doc", "__tie", "whole").where(F.size("whole") > 0).mapInArrow(wholes, _SPANS)
+    disputed = (
+        docs.select("__doc", "__tie", "__text")
+        .join(flagged.where(F.size("pos") > 0).select("__doc", "__tie", "pos", "anchor"), ["__doc", "__tie"])
+        .select("__doc", "__tie", "__text", "pos", "anchor")
+        .mapInArrow(contexts, "doc bigint, tie bigint, start bigint, anchor bigint, bytes binary")
+    )
+    crowded = (
+        flagged.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
+    )
     any_crowded = not crowded.isEmpty()
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,20 +496,27 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     other columns pass through; ids are integers.
     """
     rows = keyed(docs, id_col, text_col)
+    if docs.columns in ([id_col, text_col], [text_col, id_col]) and docs.schema[id_col].dataType.simpleString() == "bigint":
+        # the id is the key: both joins then read one and the same exchange of the texts
+        rows = rows.select("__doc", "__tie", "__text")
+        names = [F.when(F.col("__doc") != NULL_ID, F.col("__doc")).alias(id_col)]
+    else:
+        names = [c for c in docs.columns if c != text_col]
     found = spans(rows.select("__doc", "__tie", "__text"), window, **options)
     found = found.groupBy(F.col("doc").alias("__doc"), F.col("tie").alias("__tie")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    names = [c for c in docs.columns if c != text_col]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*names).schema)
+    shape = docs.select(*[c for c in docs.columns if c != text_col]).schema
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in shape)
+    passed = len(names)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches):
-            k = len(names)
+            k = passed
             sizes, removed, kept = [], [], []
             for text, found in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True):
                 text = text or b""
                 gone: list[list[int]] = []
-                for s, e in sorted((x["start"], x["end"]) for x in found or ()):
+                for s, e in sorted((x["start"], min(x["end"], len(text))) for x in found or ()):
                     if gone and s <= gone[-1][1]:
                         gone[-1][1] = max(gone[-1][1], e)
                     else:
