@@ -151,7 +151,9 @@ def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", **l
     """The kept documents with all their columns, common lines removed from their texts (and n_chars brought up to date)."""
     others = tuple(c for c in docs.columns if c != text_col)
     named = docs.select(F.col(text_col), *[F.col(c).alias(f"__in_{c}") for c in others], F.col(host_col).alias("__in__host"))
-    kept = judge(named, text_col, "__in__host", tuple(f"__in_{c}" for c in others), **limits).where("kept")
+    judged = judge(named, text_col, "__in__host", tuple(f"__in_{c}" for c in others), **limits)
+    # the row number keeps the optimizer from pushing the condition below the measures, where it would be expanded without end
+    kept = judged.withColumn("__keep", F.col("kept") & (F.monotonically_increasing_id() >= 0)).where("__keep")
     out = {c: F.col(f"__in_{c}") for c in others} | {text_col: F.col("clean_text")}
     if "n_chars" in out:
         out["n_chars"] = F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)
