@@ -8,7 +8,9 @@ empty or a lower bound is met.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,10 @@ SEQUENCE = 2048
 #: Shorter pieces in a group, and the rows at which a group of a hot hash is closed.
 GROUP, MOST = 8192, 32768
 #: Words kept with their ids by a worker; the store is emptied when it is full.
-MEMO = 1_200_000
+MEMO = 900_000
+
+#: Words of lower-case Latin letters in composed form: normalisation leaves them as they are, and each is one run of letters.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 _TOKENIZERS: dict[str, WordIds] = {}  # of this worker, by path
 
@@ -32,14 +37,34 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # plain words are encoded without the steps that do nothing to them
+        self.steps = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.short = (None, Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)]))
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.closes[k] = bool(suffix) and token.endswith(suffix)
         self.known: dict[bytes, bytes] = {}
 
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """One call for new plain words: the last token of each, and no other, has the suffix of a word's end."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.short
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps
+        cuts = np.flatnonzero(self.closes[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            self._learn(words)
+            return
+        data, at = ids.tobytes(), 0
+        for word, cut in zip(words, (4 * cuts).tolist(), strict=True):
+            self.known[word] = data[at:cut]
+            at = cut
+
     def _learn(self, words: list[bytes]) -> None:
         """One call for all new words; a token belongs to the word in which it starts."""
-        if len(self.known) + len(words) > MEMO:
-            self.known.clear()
         texts = [w.decode() for w in words]
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
@@ -58,35 +83,30 @@ class WordIds:
             text = text or b""
             # the tokenizer lower-cases; its special tokens are spelt in lower case with a bar
             split.append((text if b"<|" in text else text.lower()).split())
-        new = {w for words in split for w in words if w not in self.known}
-        parted: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in list(new):
-            # a lone point or comma after a letter is a token of its own
-            if len(w) > 1 and w[-1] in b".," and (w[-2:-1].isalpha()) and b"<|" not in w:
-                parted[w] = (w[:-1], w[-1:])
-                new.discard(w)
-        new |= {part for pair in parted.values() for part in pair if part not in self.known}
-        if new:
-            new = sorted(new)
-            for at in range(0, len(new), 4096):
-                self._learn(new[at : at + 4096])
-        own = self.known
-        if parted:
-            own = self._parts(parted)
-        try:
-            return [b"".join(map(own.__getitem__, words)) for words in split]
-        except KeyError:  # the store was emptied on the way: one text at a time, without the store
-            return [self._plain(text) for text in texts]
-
-    def _parts(self, parted: dict[bytes, tuple[bytes, bytes]]) -> dict[bytes, bytes]:
-        for w, (a, b) in parted.items():
-            if a in self.known and b in self.known:
-                self.known[w] = self.known[a] + self.known[b]
-        return self.known
-
-    def _plain(self, text: bytes | None) -> bytes:
-        found = self.tokenizer.encode((text or b"").decode(), add_special_tokens=False)
-        return np.array(found.ids, "<u4").tobytes()
+        known = self.known
+        new = set(chain.from_iterable(split)).difference(known)
+        if len(known) + len(new) > MEMO:
+            known.clear()
+            new = set(chain.from_iterable(split))
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        others = new.difference(plain)
+        # capitals beyond ASCII are lower-cased by the tokenizer, and a lone point or comma after a letter is its own token
+        parted = {}
+        for w in others:
+            low = w if w.isascii() or b"\xce\xa3" in w else w.decode().lower().encode()
+            stem = low[:-1] if low[-1] in b".," else low
+            if stem != w and _PLAIN.fullmatch(stem):
+                parted[w] = (stem, low[len(stem) :])
+        others.difference_update(parted)
+        plain += {stem for stem, _ in parted.values()}.difference(known, plain)
+        for at in range(0, len(plain), 4096):
+            self._learn_plain(plain[at : at + 4096])
+        others = sorted(others.union((b".", b",") if parted else ()).difference(known))
+        for at in range(0, len(others), 4096):
+            self._learn(others[at : at + 4096])
+        for w, (stem, stop) in parted.items():
+            known[w] = known[stem] + known[stop] if stop else known[stem]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def pieces(

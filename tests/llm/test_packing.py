@@ -28,7 +28,7 @@ def test_ids_equal_the_tokenizer(text):
 def test_ids_of_special_strings_and_a_full_store(monkeypatch):
     texts = ["a <|endoftext|> b", "x<|ENDOFTEXT|>y.", "can't. I'LL, we're.", "é. e.́", "w." * 50, "", "..,,", "A.B. c,d"]
     assert packing.WordIds(PATH).batch([t.encode() for t in texts]) == [ids(t) for t in texts]
-    monkeypatch.setattr(packing, "MEMO", 5)
+    monkeypatch.setattr(packing, "MEMO", 5)  # emptied for every batch
     small = packing.WordIds(PATH)
     for _ in range(3):
         assert small.batch([t.encode() for t in texts]) == [ids(t) for t in texts]
