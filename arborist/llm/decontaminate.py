@@ -101,46 +101,63 @@ def blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "text",
     return [x for x in found if x.vocabulary] or [Index([], window)]
 
 
-def scan(
-    docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
-) -> DataFrame:
-    """`keep` columns, text (as bytes), n_words, spans of hit words [start, end) and names of the occurring items.
+def _passes(docs: DataFrame, indexes: list[Index], keep: tuple[str, ...], text_col: str, max_coverage: float | None = None) -> DataFrame:
+    """`keep` columns, __text, __n, __spans and __items after all indexes, one pass of the documents for each.
 
-    Null texts have no words and null items no windows; an item without an id marks words but is not named; repeated
-    rows are scanned each; without items nothing is hit.
+    With max_coverage the last pass also takes the spans from the texts, and drops documents that are hit beyond it.
     """
     sc = docs.sparkSession.sparkContext
     shape = docs.select(*keep).schema
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
-    kinds += ("," if kinds else "") + f" __text binary, __n int, __spans {_SPANS}, __items array<string>"
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in shape) + f"__text binary, __n int, __spans {_SPANS}, __items array<string>"
     rows = docs.select(
         *keep, binary(text_col).alias("__text"), F.lit(0).alias("__n"),
         F.array().cast(_SPANS).alias("__spans"), F.array().cast("array<string>").alias("__items"),
     )
-    for index in blocks(items, item_col, item_text, window, block_words):
+    for at, index in enumerate(indexes):
         shared = sc.broadcast(index)
+        cleans = max_coverage is not None and at == len(indexes) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, cleans=cleans) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in arrow_rows(batches):
                 k = batch.num_columns - 4
-                counts, spans, names = [], [], []
+                texts, counts, spans, names, stays = [], [], [], [], []
                 for text, old_spans, old_names in zip(*(batch.column(k + j).to_pylist() for j in (0, 2, 3)), strict=True):
                     words = alnum_words(text)
                     found, named = index.scan(words)
-                    counts.append(len(words))
                     if old_spans:
                         found = merged([*found, *((s["start"], s["end"]) for s in old_spans)])
+                    if cleans and found:
+                        text = without_spans(text, found)
+                    texts.append(text)
+                    stays.append(not cleans or sum(e - s for s, e in found) <= max_coverage * len(words))
+                    counts.append(len(words))
                     spans.append([{"start": s, "end": e} for s, e in found])
                     names.append(sorted(named.union(old_names)))
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: k + 1], pa.array(counts, pa.int32()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))],
+                out = pa.RecordBatch.from_arrays(
+                    [
+                        *batch.columns[:k], pa.array(texts, pa.binary()) if cleans else batch.column(k), pa.array(counts, pa.int32()),
+                        pa.array(spans, kind), pa.array(names, pa.list_(pa.string())),
+                    ],
                     names=batch.schema.names,
-                )
+                )
+                yield out if all(stays) else out.filter(pa.array(stays))
 
         rows = rows.mapInArrow(run, kinds)
+    return rows
+
+
+def scan(
+    docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
+    item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """`keep` columns, text (as bytes), n_words, spans of hit words [start, end) and names of the occurring items.
+
+    Null texts have no words and null items no windows; an item without an id marks words but is not named; repeated
+    rows are scanned each; without items nothing is hit.
+    """
+    rows = _passes(docs, blocks(items, item_col, item_text, window, block_words), keep, text_col)
     return rows.select(
         *keep, F.col("__text").alias("text"), F.col("__n").cast("bigint").alias("n_words"),
         F.col("__spans").alias("spans"), F.col("__items").alias("items"),
@@ -157,33 +174,20 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = MAX_COVERAGE, **options) -> DataFrame:
+def clean(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = MAX_COVERAGE,
+    item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """Documents without the spans that items share with them; those hit beyond max_coverage of their words go.
 
     All columns stay; n_chars, if present, follows the text.
     """
     others = tuple(c for c in docs.columns if c != text_col)
     named = docs.select(*[F.col(c).alias(f"__in_{c}") for c in others], F.col(text_col))
-    found = scan(named, items, tuple(f"__in_{c}" for c in others), text_col, **options)
-    hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    found = found.where(hit <= max_coverage * F.col("n_words"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.drop("n_words", "items").schema if f.name not in ("text", "spans"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_rows(batches):
-            k = batch.num_columns - 2
-            texts = [
-                without_spans(text, [(s["start"], s["end"]) for s in spans]).decode() if spans else text and text.decode()
-                if text is not None
-                else None
-                for text, spans in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string())], names=batch.schema.names[: k + 1])
-
-    rows = found.drop("n_words", "items").mapInArrow(run, shape + ("," if shape else "") + " text string")
-    out = {c: F.col(f"__in_{c}") for c in others} | {text_col: F.col("text")}
+    rows = _passes(named, blocks(items, item_col, item_text, window, block_words), tuple(f"__in_{c}" for c in others), text_col, max_coverage)
+    out = {c: F.col(f"__in_{c}") for c in others} | {text_col: F.col("__text").cast("string")}
     if "n_chars" in out:
-        out["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.char_length(F.col("__text").cast("string")).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[out[c].alias(c) for c in docs.columns])
 
 
