@@ -54,9 +54,24 @@ class Loop:
     env: tuple[tuple[str, Node | Atom | Seq], ...] = ()
     position: str | None = None
     size: str | None = None
+    attrs: tuple[tuple[tuple[str, str, str], str], ...] = ()  # (prefix, uri, local) of attributes already in columns
+
+    base: DataFrame | None = None  # the relation before columns were joined to it
 
     def over(self, df: DataFrame) -> Loop:
-        return replace(self, df=df)
+        """The loop with more columns; sequences are still built on the relation without them."""
+        return replace(self, df=df, base=self.df if self.base is None else self.base)
+
+    def rebased(self, df: DataFrame) -> Loop:
+        """The loop over other rows, or with columns that sequences need."""
+        return replace(self, df=df, base=None)
+
+    def fork(self) -> Loop:
+        """The loop without joined columns, so that several sequences over it do not contain each other's plans."""
+        if self.base is None:
+            return self
+        have = set(self.base.columns)
+        return replace(self, df=self.base, base=None, attrs=tuple(a for a in self.attrs if a[1] in have))
 
 
 @dataclass(frozen=True)
@@ -74,6 +89,8 @@ class Engine:
     """Queries over a node table."""
 
     def __init__(self, nodes: DataFrame, namespaces: dict[str, str] | None = None, keys: dict | None = None) -> None:
+        # nodes that are partitioned by document stay so through joins on (document, node): no shuffle between steps
+        nodes.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.nodes = nodes.select(*COLUMNS)
         self.namespaces = namespaces or {}
         self.keys = keys or {}
@@ -144,6 +161,66 @@ class Engine:
             raise XdmError("XPDY0002", "there is no context item")
         return loop.focus
 
+    # attributes
+
+    @staticmethod
+    def attribute_step(e: X.Expr) -> bool:
+        return isinstance(e, X.Step) and e.axis == "attribute" and not e.predicates and e.test.kind == "name" and e.test.local is not None and e.test.uri is not None
+
+    def attribute_of(self, e: X.Expr, loop: Loop) -> tuple[str, str, str] | None:
+        """(prefix, uri, local) where an expression is an attribute of the focus or of a node variable."""
+        if self.attribute_step(e) and isinstance(loop.focus, Node):
+            return loop.focus.prefix, e.test.uri, e.test.local
+        if isinstance(e, X.Path) and self.attribute_step(e.right):
+            base = loop.focus if isinstance(e.left, X.Ctx) else dict(loop.env).get(e.left.name) if isinstance(e.left, X.Var) else None
+            if isinstance(base, Node):
+                return base.prefix, e.right.test.uri, e.right.test.local
+        return None
+
+    def prefetch(self, loop: Loop, *exprs: X.Expr) -> Loop:
+        """The loop with all attributes of its nodes that the expressions name, by one aggregation and one join a node."""
+        wanted: dict[str, set[tuple[str, str]]] = {}
+        have = dict(loop.attrs)
+
+        def walk(e: X.Expr) -> None:
+            found = self.attribute_of(e, loop)
+            if found:
+                if found not in have:
+                    wanted.setdefault(found[0], set()).add(found[1:])
+                return
+            if isinstance(e, X.Path):
+                walk(e.left)
+            elif isinstance(e, X.Filter):
+                walk(e.base)
+            elif isinstance(e, (X.Binary,)):
+                walk(e.left)
+                walk(e.right)
+            elif isinstance(e, (X.Unary, X.TypeOp)):
+                walk(e.arg)
+            elif isinstance(e, X.If):
+                walk(e.test), walk(e.then), walk(e.other)
+            elif isinstance(e, X.Call):
+                for a in e.args:
+                    walk(a)
+            elif isinstance(e, X.Sequence):
+                for a in e.items:
+                    walk(a)
+            elif isinstance(e, (X.For, X.Quantified)):
+                walk(e.source)
+
+        for e in exprs:
+            walk(e)
+        for prefix, names in wanted.items():
+            group = fresh("at")
+            ordered = sorted(names)
+            rows = self.nodes.where(F.col("kind") == ATTRIBUTE).where(F.col("local").isin([n for _, n in ordered]))
+            made = [F.max(F.when((F.col("uri") == u) & (F.col("local") == n), F.col("value"))).alias(f"{group}{k}") for k, (u, n) in enumerate(ordered)]
+            rows = rows.groupBy(F.col("doc_id").alias(group + "d"), F.col("parent").alias(group + "p")).agg(*made)
+            on = (F.col(prefix + "doc_id") == F.col(group + "d")) & (F.col(prefix + "pre") == F.col(group + "p"))
+            df = loop.df.join(rows, on, "left").drop(group + "d", group + "p")
+            loop = replace(loop, df=df, attrs=(*loop.attrs, *[((prefix, u, n), f"{group}{k}") for k, (u, n) in enumerate(ordered)]))
+        return loop
+
     # singletons
 
     def scalar(self, e: X.Expr, loop: Loop) -> tuple[Loop, Val]:
@@ -153,6 +230,10 @@ class Engine:
             return loop, Val(value.cast("decimal(38,18)") if e.type == "decimal" else value.cast("bigint") if e.type == "integer" else value, e.type, lit=e.value)
         if isinstance(e, X.Ctx):
             return self.atomized(loop, self.focus(loop))
+        place = self.attribute_of(e, loop)
+        if place is not None:
+            loop = self.prefetch(loop, e)
+            return loop, Val(F.col(dict(loop.attrs)[place]), "untyped")
         if isinstance(e, X.Var):
             bound = self.lookup(loop, e.name)
             return self.attach(Seq(bound.df, bound.order, bound.item), loop) if isinstance(bound, Seq) else self.atomized(loop, bound)
@@ -160,8 +241,9 @@ class Engine:
             return loop, Val(F.lit(None).cast("string"), "empty")
         if isinstance(e, X.Unary):
             loop, v = self.scalar(e.arg, loop)
+            folded = None if v.lit is None or isinstance(v.lit, str) else -v.lit if e.op == "-" else v.lit
             v = convert(v, numeric_type(v.type))
-            return loop, Val(-v.col if e.op == "-" else v.col, v.type)
+            return loop, Val(-v.col if e.op == "-" else v.col, v.type, folded)
         if isinstance(e, X.If):
             loop, test = self.boolean(e.test, loop)
             loop, a = self.scalar(e.then, loop)
@@ -218,6 +300,8 @@ class Engine:
 
     def is_many(self, e: X.Expr, loop: Loop) -> bool:
         """Whether an expression may have several items."""
+        if self.attribute_of(e, loop) is not None:
+            return False
         if isinstance(e, (X.Path, X.Filter, X.For)):
             return True
         if isinstance(e, X.Step):
@@ -252,8 +336,10 @@ class Engine:
 
     def existential(self, e: X.Expr, loop: Loop) -> DataFrame | None:
         """Rows with the keys of the iterations for which a test holds because some item exists; None for other tests."""
-        if isinstance(e, X.Call) and e.name in ("exists", "boolean") and len(e.args) == 1 and self.is_node(e.args[0], loop):
+        if isinstance(e, X.Call) and e.name in ("exists", "boolean") and len(e.args) == 1 and self.is_node(e.args[0], loop) and self.attribute_of(e.args[0], loop) is None:
             return self.sequence(e.args[0], loop).df
+        if self.attribute_of(e, loop) is not None:
+            return None
         if self.is_node(e, loop) and not isinstance(e, (X.Ctx, X.Var)):
             return self.sequence(e, loop).df
         if isinstance(e, X.Binary) and e.op in ("=", "!=", "<", "<=", ">", ">="):
@@ -267,10 +353,11 @@ class Engine:
                 return None
             loop, single = self.scalar(one, loop)
             name = fresh("c")
-            loop = loop.over(loop.df.withColumn(name, single.col))
+            if single.lit is None:
+                loop = loop.rebased(loop.df.withColumn(name, single.col))
             seq = self.sequence(many, loop)
             inner, v = self.atomized(Loop(seq.df, loop.keys, seq.item), seq.item)
-            other = Val(F.col(name), single.type, single.lit)
+            other = single if single.lit is not None else Val(F.col(name), single.type)
             left, right = (v, other) if a else (other, v)
             return inner.df.where(compare(e.op, left, right, general=True))
         if isinstance(e, X.Quantified) and e.some:
@@ -340,6 +427,9 @@ class Engine:
                 return self.flag(self.sequence(e.args[0], loop).df, loop)
             loop, v = self.scalar(e.args[0], loop)
             return loop, v.col.isNotNull()
+        if self.attribute_of(e, loop) is not None:
+            loop, v = self.scalar(e, loop)
+            return loop, v.col.isNotNull()
         loop, v = self.scalar(e, loop)
         return loop, ebv_value(v)
 
@@ -580,10 +670,12 @@ class Engine:
         item = seq.item
         env = (*loop.env, (var, item)) if var else loop.env
         keys = (*loop.keys, *[o for o in seq.order if o not in loop.keys])
-        return Loop(seq.df, keys, loop.focus, env, loop.position, loop.size)
+        attrs = tuple(a for a in loop.attrs if a[1] in seq.df.columns)
+        return Loop(seq.df, keys, loop.focus, env, loop.position, loop.size, attrs)
 
     def sequence(self, e: X.Expr, loop: Loop) -> Seq:
         """Any expression as a relation."""
+        loop = loop.fork()
         if isinstance(e, X.Root):
             p = fresh("r")
             f = self.focus(loop)
@@ -617,8 +709,8 @@ class Engine:
         if isinstance(e, X.If) and self.is_many(e, loop):
             loop, test = self.boolean(e.test, loop)
             name = fresh("t")
-            loop = loop.over(loop.df.withColumn(name, test))
-            yes, no = loop.over(loop.df.where(F.col(name))), loop.over(loop.df.where(~F.col(name)))
+            loop = loop.rebased(loop.df.withColumn(name, test))
+            yes, no = loop.rebased(loop.df.where(F.col(name))), loop.rebased(loop.df.where(~F.col(name)))
             return self.concatenated([self.sequence(e.then, yes), self.sequence(e.other, no)], loop)
         if isinstance(e, X.Binary) and e.op in ("union", "intersect", "except"):
             return self.set_operation(e, loop)
@@ -701,6 +793,8 @@ class Engine:
         own = (item.prefix + "doc_id", item.prefix + "pre") if isinstance(item, Node) else seq.order
         keys = tuple(dict.fromkeys((*part, *own)))
         inner = Loop(df, keys, item, loop.env, pos if positions else None, size if positions else None)
+        inner = self.prefetch(inner, p)
+        df = inner.df
         columns = seq.df.columns
         negated = isinstance(p, X.Call) and p.name in ("not", "empty") and len(p.args) == 1
         inside = X.Call("exists", p.args) if negated and p.name == "empty" else p.args[0] if negated else p
@@ -810,7 +904,7 @@ class Engine:
         if name == "index-of":
             loop, v = self.scalar(args[1], loop)
             c = fresh("w")
-            loop = loop.over(loop.df.withColumn(c, v.col))
+            loop = loop.rebased(loop.df.withColumn(c, v.col))
             seq = self.ranked(self.sequence(args[0], loop), loop)
             inner, x = self.atomized(Loop(seq.df, loop.keys, seq.item), seq.item)
             o = fresh("o")
@@ -866,7 +960,7 @@ class Engine:
             return replace(seq, df=where.df.where((p >= lo) & (p < lo + F.floor(convert(n, "double").col + 0.5))), distinct=False)
         loop, place = self.scalar(args[1], loop)
         c = fresh("w")
-        loop = loop.over(loop.df.withColumn(c, F.greatest(convert(place, "integer").col, F.lit(1))))
+        loop = loop.rebased(loop.df.withColumn(c, F.greatest(convert(place, "integer").col, F.lit(1))))
         base = self.ranked(self.sequence(args[0], loop), loop)
         o = base.order[0]
         before, after = replace(base, df=base.df.where(F.col(o) < F.col(c))), replace(base, df=base.df.where(F.col(o) >= F.col(c)))
@@ -927,9 +1021,11 @@ class Engine:
         seq = self.sequence(parse(rows, self.namespaces), loop)
         ranked = self.ranked(seq, loop)
         inner = replace(self.iterate(replace(ranked, order=self.order_of(seq.item) or ranked.order), loop, None), focus=seq.item)
+        parsed = {name: parse(text, self.namespaces) for name, text in columns.items()}
+        inner = self.prefetch(inner, *parsed.values())
         made = {}
-        for name, text in columns.items():
-            inner, v = self.scalar(parse(text, self.namespaces), inner)
+        for name, e in parsed.items():
+            inner, v = self.scalar(e, inner)
             made[name] = v
         # the columns are null-safe: an empty sequence is null
         return inner.df.select(
