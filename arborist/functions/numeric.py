@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 def nan() -> Column:
     return F.lit(float("nan"))
@@ -111,7 +112,7 @@ def less(a: Column, b: Column) -> Column:
 def double_text(c: Column) -> Column:
     """The canonical text of a double: integers without a point below a million, else E notation."""
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def run(s):
         return s.map(canonical_double)
 
@@ -216,7 +217,7 @@ def picture(value, text: str, fmt: DecimalFormat | None = None) -> str:
 
 
 def format_number(c: Column, text: str, fmt: DecimalFormat | None = None) -> Column:
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def run(s):
         return s.map(lambda v: picture(None if v is None else v, text, fmt))
 

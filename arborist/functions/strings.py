@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 CODEPOINT = "http://www.w3.org/2005/xpath-functions/collation/codepoint"
 ASCII_CASELESS = "http://www.w3.org/2005/xpath-functions/collation/html-ascii-case-insensitive"
@@ -126,7 +127,7 @@ def string_to_codepoints(c: Column) -> Column:
     return F.when(text(c) != "", F.transform(F.split(text(c), ""), lambda x: F.ascii(x)))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _from_codepoints(codes):
     def one(x):
         out = []
@@ -164,7 +165,7 @@ def normalize_unicode(c: Column, form: str = "NFC") -> Column:
     if form not in _FORMS:
         raise XdmError("FOCH0003", f"unknown form {form}")
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def run(s):
         import unicodedata
 
@@ -182,7 +183,7 @@ def encode_for_uri(c: Column) -> Column:
 
 
 def _escaped(c: Column, keep) -> Column:
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def run(s):
         def one(x):
             return "".join(ch if keep(ord(ch)) else "".join(f"%{b:02X}" for b in ch.encode()) for ch in x or "")
@@ -205,7 +206,7 @@ def escape_html_uri(c: Column) -> Column:
 def resolve_uri(relative: Column, base: Column) -> Column:
     """A relative reference against a base; FORG0002 where the base is not absolute."""
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def run(r, b):
         from urllib.parse import urljoin, urlsplit
 

@@ -57,6 +57,7 @@ class Grammar:
         self.definitions: dict[str, tuple] = {}
         self.scopes = 0
         self.start = self._pattern(ET.fromstring(text), "", "", None)
+        self.resolve = None  # a compiled grammar is sent to the workers
 
     # name classes: ("name", uri, local), ("any", except), ("ns", uri, except), ("choice", a, b)
 
