@@ -1,6 +1,6 @@
-"""Command line: evaluates an expression, checks a schema or applies rules over files, in batch.
+"""Command line: transforms, queries, validates or checks files, in batch; a refused document is a row, not a failure.
 
-    python -m arborist.cli [--xpath E | --xsd FILE | --rng FILE | --rules FILE] PATH -o OUT
+    python -m arborist.cli [--xsl FILE | --xpath E | --xsd FILE | --rng FILE | --rules FILE] PATH -o OUT
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from arborist.schema import rng
 from arborist.schema.xsd import Schema, validate
 from arborist.sources.catalog import file_resolver
 from arborist.sources.shred import Limits, read
+from arborist.xslt.interpreter import Stylesheet, transform
 from arborist.xslt.rules import Assertion, Rule, Rules, schematron, svrl
+from arborist.xslt.serialize import write_results
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("path", help="files, each a document")
     p.add_argument("-o", "--out", help="folder for the result as JSON lines; standard output without it")
     what = p.add_mutually_exclusive_group(required=True)
+    what.add_argument("--xsl", help="a stylesheet")
     what.add_argument("--xpath")
     what.add_argument("--xsd")
     what.add_argument("--rng")
@@ -47,6 +50,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.fail_fast and not errors.isEmpty():
         raise SystemExit(errors.first().message)
     resolve = file_resolver(args.allow_dir) if args.allow_dir else None
+    if args.xsl:
+        with open(args.xsl) as f:
+            sheet = Stylesheet(f.read(), resolve)
+        files = spark.read.format("binaryFile").load(args.path).select(F.xxhash64("path").alias("doc_id"), F.col("content").alias("xml"))
+        found = transform(files, sheet, params=dict(x.split("=", 1) for x in args.params), limits=limits, mode=args.mode)
+        if args.result_dir:
+            write_results(found.where("href IS NOT NULL"), args.result_dir)
+        return found
     if args.xpath:
         return Engine(nodes).xpath(args.xpath, **dict(x.split("=", 1) for x in args.params))
     if args.xsd:
