@@ -41,7 +41,7 @@ def schematron_svrl(spark, sf_dir):
     from arborist.sources.shred import shred
 
     reports = svrl(schematron(engine(spark, sf_dir, "orders_xml"), ASSERTIONS))
-    parsed = Engine(shred(reports.withColumnRenamed("text", "xml"))[0])
+    parsed = Engine(shred(reports.withColumnRenamed("text", "xml"))[0].persist())
     return parsed.xpath("count(/*/*)").select("doc_id", F.col("value").alias("n"))
 
 
@@ -177,4 +177,4 @@ def xslt_identity(spark, sf_dir):
 
     texts = serialize(engine(spark, sf_dir, "events_xml").nodes).withColumnRenamed("text", "xml")
     made = transform(texts, Stylesheet(_IDENTITY)).select("doc_id", F.col("text").alias("xml"))
-    return Engine(shred(made)[0]).xpath("count(//event[not(@id)]/v)").select("doc_id", F.col("value").alias("n"))
+    return Engine(shred(made)[0].persist()).xpath("count(//event[not(@id)]/v)").select("doc_id", F.col("value").alias("n"))

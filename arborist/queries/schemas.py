@@ -175,7 +175,7 @@ def shred_round_trip(spark, sf_dir):
     from arborist.xslt.serialize import serialize
 
     text = serialize(engine(spark, sf_dir, "events_xml").nodes)
-    again = Engine(shred(text.withColumnRenamed("text", "xml"))[0]).xpath("//event/@type")
+    again = Engine(shred(text.withColumnRenamed("text", "xml"))[0].persist()).xpath("//event/@type")
     return again.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
