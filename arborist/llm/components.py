@@ -48,3 +48,14 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def survivors(rows: DataFrame, root: str, id_col: str, columns: list[str]) -> DataFrame:
+    """The given columns of one row of each root: the one with the smallest id; a null id is beyond all others.
+
+    Rows of one root and id are told apart by a hash of the row; rows of different roots never meet, even
+    if their ids are equal or null.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    return rows.groupBy(root).agg(F.min_by(row, rank).alias("__llm_row")).select("__llm_row.*")
