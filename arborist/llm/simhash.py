@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborist.llm.common import arrow_rows, binary, cut, partitions, space_words
-from arborist.llm.components import components
+from arborist.llm.components import components, survivors
 
 #: Fingerprints in one tile at most.
 TILE = 4096
@@ -207,6 +207,12 @@ def link(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     )
 
 
+def _roots(prints: DataFrame, radius: int) -> DataFrame:
+    """(fingerprint, root) of distinct fingerprints; root is the smallest one reached over links."""
+    roots = components(link(prints, radius)).withColumnRenamed("node", "fingerprint")
+    return prints.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """(id, fingerprint, component_id) for every row; component_id is the smallest id reached over links.
 
@@ -215,9 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
     prints = rows.groupBy("fingerprint").agg(F.min("id").alias("first"))
-    roots = components(link(prints, radius)).withColumnRenamed("node", "fingerprint")
-    root = F.coalesce("root", "fingerprint")
-    labelled = prints.join(roots, "fingerprint", "left").select("fingerprint", "first", root.alias("root"))
+    labelled = _roots(prints, radius)
     firsts = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = labelled.join(firsts, "root").select("fingerprint", "component_id")
     return rows.join(classes, "fingerprint").select("id", "fingerprint", "component_id")
@@ -226,11 +230,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
-    Of rows that repeat the smallest id, one stays; rows with a null id stay only where their whole component
-    has null ids, one of them.
+    Of rows of a component that repeat the smallest id, one stays; a row with a null id stays only where its whole
+    component has null ids, one of them.
     """
-    found = near_duplicates(docs, id_col, text_col, radius, shingle).where(F.col("id").eqNullSafe(F.col("component_id")))
-    keys = found.select(F.col("id").alias("__llm_id")).distinct()
-    kept = docs.join(keys, docs[id_col].eqNullSafe(F.col("__llm_id")), "left_semi")
-    repeats = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("__llm_repeat", F.row_number().over(repeats)).where("__llm_repeat = 1").select(*docs.columns)
+    node = F.xxhash64(F.coalesce(binary(text_col), F.lit(b"")))
+    texts = docs.select(node.alias("node"), F.col(text_col).alias("text"))
+    found = cut(fingerprints(texts, "node", "text", shingle)).distinct()
+    labels = found.join(_roots(found.select("fingerprint").distinct(), radius), "fingerprint")
+    labels = labels.select(F.col("id").alias("__llm_node"), F.col("root").alias("__llm_root"))
+    return survivors(docs.withColumn("__llm_node", node).join(labels, "__llm_node"), "__llm_root", id_col, docs.columns)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from arborist.llm import simhash
+from arborist.llm import shingles, simhash
 from arborist.llm.components import components
 
 
@@ -103,3 +103,13 @@ def test_keep_first_with_repeats_nulls_and_none(spark):
     assert sorted((r.doc_id for r in kept), key=str) == [1, 3, None]
     assert simhash.keep_first(docs.limit(0)).count() == 0
     assert simhash.keep_first(docs).columns == docs.columns
+
+
+def test_keep_first_tells_null_and_repeated_ids_apart(spark):
+    prose = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(None, prose(k)) for k in range(6)] + [(7, prose(k)) for k in range(6, 9)]
+    rows += [(None, prose(20)), (3, prose(20)), (None, prose(0)), (7, prose(6)), (8, prose(8))]
+    want = sorted([(None, prose(k)) for k in range(6)] + [(7, prose(k)) for k in range(6, 9)] + [(3, prose(20))], key=str)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for keep_first in (simhash.keep_first, shingles.keep_first):
+        assert sorted(map(tuple, keep_first(docs).collect()), key=str) == want
