@@ -2,7 +2,10 @@
 
 Every run of RUN consecutive sentences is hashed; runs are joined globally, and sentences covered by a run that is
 not the first of its hash are removed. A sentence ends at . ! ? followed by white space, or at a line's end; one of
-more than LONG words is cut every LONG words, so that long repeated passages without stops have runs as well.
+more than LONG words is cut where its words say so, so that long repeated passages without stops have runs as well,
+at whatever word of a sentence they start. A passage of over 50 words always has a run: fewer than LONG + GRAM words
+at its start and fewer than LONG at its end can lie in pieces that it shares with what surrounds it, and the rest is
+cut into pieces of at most LONG words. Only where GRAM words come again within LONG words can the cuts depend on what is before.
 """
 
 from __future__ import annotations
@@ -20,13 +23,19 @@ from arborist.llm.common import alnum_words, arrow_rows
 from arborist.llm.repeats import PLACES, Firsts, keyed, local_firsts, sorted_by_key
 
 RUN, LONG = 3, 12
+#: Words hashed to place a cut.
+GRAM = 3
 #: A run of fewer words is too short to tell copying from chance.
 MIN_RUN_WORDS = 8
 #: Bytes of text that a task hashes at a time.
 BLOCK_BYTES = 16 << 20
 
+#: For words: A-Z become a-z, ASCII other than letters and digits goes (the line feed stands between words).
+_KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+_DROP = bytes(c for c in range(128) if c != 10 and not chr(c).isalnum())
+
 _SENTENCE = re.compile(rb"\s*+(?:[^.!?\n]++|[.!?]++(?!\s|\Z))*+(?:[.!?]++)?+[^\S\n]*+\n?+")
-_LONG = re.compile(rb"\s*+(?:\S++\s*+){1,%d}" % LONG)
+_TOKEN = re.compile(rb"\s*+\S++\s*+")
 
 
 def split(text: bytes | None) -> list[bytes]:
@@ -38,13 +47,39 @@ def split(text: bytes | None) -> list[bytes]:
         part = m[0]
         if not part:
             continue
-        if part.count(b" ") >= LONG and len(part.split()) > LONG:
-            found += _LONG.findall(part)
+        words = part.split()
+        if len(words) > LONG:
+            tokens = _TOKEN.findall(part)
+            ends = _cuts(words)
+            found += [b"".join(tokens[a:b]) for a, b in zip([0, *ends], [*ends, len(tokens)], strict=True) if a < b]
         else:
             found.append(part)
     return found
 
 
+def _cuts(words: list[bytes]) -> list[int]:
+    """How many words lie before each cut: every LONG words in a row have a cut behind the one of least hash.
+
+    A word is hashed with the GRAM - 1 before it. Of equal hashes the last cut stands while it can, then the last.
+    """
+    # letters and digits only, as in the keys of runs
+    plain = b"\n".join(words).translate(_KEEP, _DROP).split(b"\n")
+    padded = [plain[0]] * (GRAM - 1) + plain
+    grams = [b" ".join(x) for x in zip(*(padded[k:] for k in range(GRAM)), strict=False)]
+    h = list(map(xxhash.xxh64_intdigest, grams))
+    cuts, at = [], -1
+    for end in range(LONG - 1, len(h)):
+        start = end - LONG + 1
+        if at < start:
+            least = min(h[start : end + 1])
+            at = next(k for k in range(end, start - 1, -1) if h[k] == least)
+            cuts.append(at + 1)
+        elif h[end] < h[at]:
+            at = end
+            cuts.append(at + 1)
+    return cuts
+
+
 def runs(sentences: list[bytes], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first key half, second key half, first sentence) of every run with enough words; sentences without a word are passed over."""
     own, hashes, sizes = [], [], []

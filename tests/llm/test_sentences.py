@@ -75,3 +75,27 @@ def test_repeats_nulls_and_columns(spark):
     out = sentences.clean(docs)
     assert out.columns == docs.columns and out.count() == 3
     assert sentences.dedup(docs.limit(0)).count() == 0
+
+
+def test_passages_at_every_offset(spark):
+    rnd = random.Random(21)
+    words = lambda n: [f"u{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, planted = [], {}
+    for n, gap in [(51, " "), (62, "\t"), (116, " "), (55, " \t")]:
+        passage = words(n)
+        for offset in range(13):
+            planted[len(rows)] = passage
+            rows.append((len(rows), gap.join(words(offset + rnd.choice([0, 12])) + passage + words(rnd.randrange(20)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.clean_text.split() for r in sentences.dedup(docs).collect()}
+    for k, passage in planted.items():
+        left = len(set(passage) & set(got[k]))
+        assert left == len(passage) if k % 13 == 0 else left <= 27
+
+
+def test_a_word_put_in_early_moves_no_later_cut():
+    rnd = random.Random(22)
+    words = [f"u{rnd.randrange(10**6)}" for _ in range(200)]
+    one = [s.split() for s in sentences.split(" ".join(words).encode())]
+    two = [s.split() for s in sentences.split(" ".join(words[:5] + ["more"] + words[5:]).encode())]
+    assert sum(s in one for s in two) >= len(two) - 4 and max(map(len, one)) <= 12
