@@ -46,7 +46,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentences.dedup(docs).withColumnRenamed("clean_text", "text")
+    return sentences.dedup(docs, extend=True).withColumnRenamed("clean_text", "text")
 
 
 def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ from arborist.llm.repeats import PLACES, Firsts, keyed, local_firsts, sorted_by_
 RUN, LONG = 3, 12
 #: Words hashed to place a cut.
 GRAM = 3
-#: A run of fewer words is too short to tell copying from chance.
+#: A run of fewer words is too short to tell copying from chance: it is passed over or, where `extend` is set, goes on
+#: to the sentence that makes them up.
 MIN_RUN_WORDS = 8
 #: Bytes of text that a task hashes at a time.
 BLOCK_BYTES = 16 << 20
@@ -80,8 +81,11 @@ def _cuts(words: list[bytes]) -> list[int]:
     return cuts
 
 
-def runs(sentences: list[bytes], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first key half, second key half, first sentence) of every run with enough words; sentences without a word are passed over."""
+def runs(sentences: list[bytes], run: int = RUN, extend: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first key half, second key half, first sentence) of every run with enough words; sentences without a word are passed over.
+
+    With `extend`, a run of too few words takes in the sentences after it until it has enough, if the text has them.
+    """
     own, hashes, sizes = [], [], []
     for k, s in enumerate(sentences):
         words = alnum_words(s)
@@ -94,27 +98,38 @@ def runs(sentences: list[bytes], run: int = RUN) -> tuple[np.ndarray, np.ndarray
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     h, size = np.array(hashes, np.uint64), np.array(sizes)
     a, b, words = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for k in range(run):
-        a = (a ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        a ^= a >> np.uint64(29)
-        b = (b + h[k : k + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        b ^= b >> np.uint64(31)
-        words += size[k : k + n]
+    at = np.arange(n)
+    for k in range(max(run, MIN_RUN_WORDS) if extend else run):
+        if k >= run:
+            at = at[(words[at] < MIN_RUN_WORDS) & (at + k < len(h))]
+            if not len(at):
+                break
+        x = (a[at] ^ h[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        a[at] = x ^ (x >> np.uint64(29))
+        x = (b[at] + h[at + k]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        b[at] = x ^ (x >> np.uint64(31))
+        words[at] += size[at + k]
     keep = np.flatnonzero(words >= MIN_RUN_WORDS)
     return a[keep].view(np.int64), b[keep].view(np.int64), keep
 
 
 def _covered(sentences: list[bytes], starts: set[int], run: int) -> list[bool]:
     """Which sentences a run starting at one of the given runs covers; those without a word between covered ones go too."""
-    own = [k for k, s in enumerate(sentences) if alnum_words(s)]
+    sizes = [len(alnum_words(s)) for s in sentences]
+    own = [k for k, n in enumerate(sizes) if n]
     gone = [False] * len(sentences)
     for s in starts:
-        for k in range(own[s], own[s + run - 1] + 1):
+        last = s + run - 1
+        words = sum(sizes[k] for k in own[s : last + 1])
+        while words < MIN_RUN_WORDS:
+            last += 1
+            words += sizes[own[last]]
+        for k in range(own[s], own[last] + 1):
             gone[k] = True
     return gone
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, tasks: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, tasks: int | None = None, extend: bool = False) -> DataFrame:
     """docs with n_sentences, n_removed and clean_text; the first place is that of the smallest id, then place.
 
     Null texts stay null and have no sentences; a null id comes before all others; rows repeated with id and text
@@ -129,7 +144,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
         for batch in arrow_rows(batches):
             doc, tie = (batch.column(k).to_pylist() for k in range(2))
             for d, t, text in zip(doc, tie, batch.column(2).to_pylist(), strict=True):
-                a, b, pos = runs(split(text), run)
+                a, b, pos = runs(split(text), run, extend)
                 held.append((a, b, np.full(len(a), d), np.full(len(a), t), pos))
                 size += len(text or b"")
             if size >= BLOCK_BYTES:

@@ -1,9 +1,10 @@
 import random
 
+import corpus_pipeline
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arborist.llm import sentences
+from arborist.llm import queries, sentences
 from arborist.llm.common import alnum_words
 
 
@@ -99,3 +100,17 @@ def test_a_word_put_in_early_moves_no_later_cut():
     one = [s.split() for s in sentences.split(" ".join(words).encode())]
     two = [s.split() for s in sentences.split(" ".join(words[:5] + ["more"] + words[5:]).encode())]
     assert sum(s in one for s in two) >= len(two) - 4 and max(map(len, one)) <= 12
+
+
+def test_short_sentences_have_runs(spark, tmp_path):
+    rnd = random.Random(23)
+    words = [f"u{rnd.randrange(10**6)}" for _ in range(155)]
+    lines = "\n".join(words)
+    said = ". ".join(f"{a} {b}" for a, b in zip(words[:60:2], words[1:60:2], strict=True)) + "."
+    rows = [(1, lines), (2, lines), (3, "Before it was\n" + lines + "\nand after it."), (4, said), (5, "No.\n" + said), (6, "one.\ntwo.\nsix."), (7, "one.\ntwo.\nsix.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: lines, 2: "", 3: "Before it was\nand after it.", 4: said, 5: "No.\n", 6: rows[5][1], 7: rows[6][1]}
+    assert {r.doc_id: r.text for r in queries.QUERIES["op5_sentence_spans"](spark, str(tmp_path)).collect()} == want
+    del want[2]
+    assert {r.doc_id: r.text for r in corpus_pipeline.substrings(spark, docs, "").collect()} == want
