@@ -23,6 +23,9 @@ from arborist.xdm import ATTRIBUTE, COLUMNS, DOCUMENT, ELEMENT, XdmError
 from arborist.xpath import ast as X
 from arborist.xpath.parser import parse, uses_position
 
+#: Names of complex elements that the driver holds at most.
+MOST_NAMES = 10_000
+
 _names = count()
 
 
@@ -127,12 +130,12 @@ class Engine:
 
     # nodes and values
 
-    def complex_names(self) -> set[str]:
-        """Local names of elements that do not store their string value; bounded by the vocabulary of the documents."""
+    def complex_name(self, local: str) -> bool:
+        """Whether elements of a local name may not store their string value; with over MOST_NAMES such names all count as such."""
         if self._complex is None:
-            rows = self.nodes.where((F.col("kind") == ELEMENT) & F.col("value").isNull()).select("local").distinct().limit(10_000).collect()
+            rows = self.nodes.where((F.col("kind") == ELEMENT) & F.col("value").isNull()).select("local").distinct().limit(MOST_NAMES + 1).collect()
             self._complex = {r.local for r in rows}
-        return self._complex
+        return len(self._complex) > MOST_NAMES or local in self._complex
 
     def valued(self, df: DataFrame, node: Node, name: str) -> DataFrame:
         if node.simple:
@@ -142,7 +145,7 @@ class Engine:
     def simple(self, axis: str, test: X.Test) -> bool:
         if axis in ("attribute", "namespace") or test.kind in ("text", "attribute", "comment", "processing-instruction"):
             return True
-        return test.kind in ("name", "element") and test.local is not None and test.local not in self.complex_names()
+        return test.kind in ("name", "element") and test.local is not None and not self.complex_name(test.local)
 
     def atomized(self, loop: Loop, item: Node | Atom) -> tuple[Loop, Val]:
         if isinstance(item, Atom):

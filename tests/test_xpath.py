@@ -94,3 +94,13 @@ def test_limits_encodings_and_doctype():
             parse_xml(text, limits)
     rows = parse_xml("<!DOCTYPE a [<!ATTLIST a k CDATA 'd'><!ENTITY e 'x'>]><a>&e;</a>", Limits(allow_doctype=True, positions=True))
     assert [r[8] for r in rows[1:]] == ["x", "d", "x"] and rows[1][11] == 1
+
+
+def test_more_complex_names_than_are_held(spark, monkeypatch):
+    monkeypatch.setattr("arborist.plans.lower.MOST_NAMES", 20, raising=False)
+    xml = "<a>" + "".join(f"<n{k}>x<c>y{k}</c></n{k}>" for k in range(10_050)) + "<s>z</s></a>"
+    engine = Engine(shred(spark.createDataFrame([(1, xml)], "doc_id long, xml string"))[0].cache())
+    names = [f"n{k}" for k in range(10_050)]
+    assert not any(engine.simple("child", parse(f"child::{n}").test) for n in names)
+    assert [r.value for r in engine.xpath("string(//n7)").collect()] == ["xy7"]
+    assert [r.value for r in engine.xpath("//s").collect()] == ["z"]
