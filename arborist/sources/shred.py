@@ -29,6 +29,7 @@ class Limits:
     expansion: int = 1 << 20
     positions: bool = False
     strip: frozenset[str] = field(default_factory=frozenset)  # local names whose white-space-only text goes; "*" for all
+    preserve: frozenset[str] = field(default_factory=frozenset)  # local names that "*" in strip does not reach
 
 
 _DECLARATION = re.compile(rb"""^(<\?xml\b[^>]*?\bversion\s*=\s*["'])1\.1(["'])""")
@@ -82,7 +83,7 @@ class _Builder:
             if len(self.open) == 1:
                 return
             strip = self.limits.strip
-            if strip and not text.strip(" \t\r\n") and ("*" in strip or parent[6] in strip):
+            if strip and not text.strip(" \t\r\n") and (parent[6] in strip or ("*" in strip and parent[6] not in self.limits.preserve)):
                 return
             self._add(TEXT, "", None, "", text)
 
