@@ -211,20 +211,28 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
                 break
             theirs, slack, full = lengths[rest], capacity - fill[bins[rest]], fill[bins[rest]]
             best, step = 0, None
-            sizes = [(int(lengths[a]), (a,)) for a in mine.tolist()]
-            if len(mine) <= 16:  # pairs of a giver of many small pieces add nothing that its single pieces cannot do
-                sizes += [(int(lengths[a] + lengths[b]), (a, b)) for i, a in enumerate(mine.tolist()) for b in mine.tolist()[:i]]
-            for size, given in sizes:
-                if len(given) == 1:
-                    gain = np.where(slack >= size, 2 * size * (full - fill[giver] + size), 0)
-                    k = int(gain.argmax())
-                    if gain[k] > best:
-                        best, step = int(gain[k]), (given, None, int(bins[rest[k]]))
-                d = size - theirs
-                gain = np.where((d > 0) & (d <= slack), 2 * d * (full - fill[giver] + d), 0)
-                k = int(gain.argmax())
-                if gain[k] > best:
-                    best, step = int(gain[k]), (given, int(rest[k]), int(bins[rest[k]]))
+            # one piece for each length, one pair for each two lengths: all else is the same exchange
+            mine = mine.tolist()
+            single = {int(lengths[a]): (a,) for a in mine}
+            twins, spare = {}, {}
+            for a in mine:
+                n = int(lengths[a])
+                if n in spare:
+                    twins.setdefault(2 * n, (spare[n], a))
+                spare.setdefault(n, a)
+            ones = sorted(single)
+            pairs = {x + y: single[x] + single[y] for i, x in enumerate(ones) for y in ones[:i]}
+            some = pairs | twins | single
+            # the gain grows with what a bin receives on balance: its best is the largest that fits
+            for choice, back in ((single, np.zeros(len(rest), np.int64)), (some, theirs)):
+                sizes = np.array(sorted(choice))
+                k = np.searchsorted(sizes, back + slack, "right") - 1
+                d = sizes[np.maximum(k, 0)] - back
+                gain = np.where((k >= 0) & (d > 0), 2 * d * (full - fill[giver] + d), 0)
+                at = int(gain.argmax())
+                if gain[at] > best:
+                    taken = None if choice is single else int(rest[at])
+                    best, step = int(gain[at]), (choice[int(sizes[k[at]])], taken, int(bins[rest[at]]))
             if step is None:
                 break
             given, taken, to = step

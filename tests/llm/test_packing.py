@@ -124,3 +124,11 @@ def test_groups_of_hot_hashes_are_closed(spark, monkeypatch):
     got = packing.pack(rows.repartition(3), 5000, group=10**6).collect()
     assert len(got) == 5000 and valid(got, 2048) == 2500
     assert zlib.crc32(b"") == 0
+
+
+def test_two_for_one_from_a_bin_of_many_pieces():
+    lengths = np.array([100] * 17 + [150] * 13 * 40, np.int64)
+    bins = np.r_[np.zeros(17, np.int64), np.repeat(np.arange(1, 41), 13)]
+    out = packing.local_search(lengths, bins, 2000)  # slack of 50 in every other bin: nothing fits but two for one
+    fill = np.bincount(out, weights=lengths)
+    assert fill.max() == 2000 and (fill ** 2).sum() > (np.bincount(bins, weights=lengths) ** 2).sum()
