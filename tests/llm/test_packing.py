@@ -15,6 +15,10 @@ PLAIN = Tokenizer.from_file(PATH)
 CODER = packing.WordIds(PATH)
 
 
+def coded(coder, texts):
+    return [x.tobytes() for x in coder.batch([None if t is None else t.encode() for t in texts])]
+
+
 def ids(text):
     return np.array(PLAIN.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -22,17 +26,31 @@ def ids(text):
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" \t\n\x0b\x0c\r.,'<|>stdmABİßΣςéȩ́  \x1c\x85«»12"), st.characters(codec="utf-8"))))
 def test_ids_equal_the_tokenizer(text):
-    assert CODER.batch([text.encode()]) == [ids(text)]
+    assert coded(CODER, [text]) == [ids(text)]
 
 
 def test_ids_of_special_strings_and_a_full_store(monkeypatch):
     texts = ["a <|endoftext|> b", "x<|ENDOFTEXT|>y.", "can't. I'LL, we're.", "é. e.́", "w." * 50, "", "..,,", "A.B. c,d"]
-    assert packing.WordIds(PATH).batch([t.encode() for t in texts]) == [ids(t) for t in texts]
+    assert coded(packing.WordIds(PATH), texts) == [ids(t) for t in texts]
     monkeypatch.setattr(packing, "MEMO", 5)  # emptied for every batch
     small = packing.WordIds(PATH)
     for _ in range(3):
-        assert small.batch([t.encode() for t in texts]) == [ids(t) for t in texts]
-    assert small.batch([None]) == [b""]
+        assert coded(small, texts) == [ids(t) for t in texts]
+    assert coded(small, [None]) == [b""]
+
+
+def test_ids_in_blocks_and_without_merges(monkeypatch):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab \té.,!9AÉ×÷'") for _ in range(rnd.choice([0, 3, 40, 2000]))) for _ in range(60)]
+    texts += ["aaaaaaa aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "x" * 5000, "a\0 a", "<|endoftext|>a", "A<|startoftext|>", "7up 2024-11-26 ±µ"]
+    want = [ids(t) for t in texts]
+    assert coded(packing.WordIds(PATH), texts) == want
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 300)  # texts are cut at white space
+    monkeypatch.setattr(packing, "MEMO", 64)
+    coder = packing.WordIds(PATH)
+    assert coded(coder, texts) == want and coded(coder, texts) == want
+    coder.merges = None
+    assert coded(coder, texts + ["new words only here"]) == [*want, ids("new words only here")]
 
 
 def optimal(lengths, capacity):
@@ -74,6 +92,34 @@ def test_local_search_empties_bins():
     assert packing.local_search(lengths, bins, 10).tolist() in ([0, 0, 1, 1, 1], [1, 0, 0, 0, 1])
 
 
+def test_search_meets_the_bound_where_best_fit_misses_it():
+    """Over many draws the search closes bins that best fit leaves, and never opens one."""
+    rng = np.random.default_rng(5)
+    missed = closed = 0
+    for _ in range(300):
+        lengths = rng.integers(20, 60, 40)
+        first = packing.best_fit(lengths, 100)
+        used, least = first.max() + 1, packing.lower_bound(lengths, 100)
+        found = len(set(packing.local_search(lengths, first, 100).tolist()))
+        assert least <= found <= used
+        missed += used > least
+        closed += found < used
+    assert missed > 20 and closed >= 3
+
+
+def test_search_joins_the_last_bins_of_all_groups(spark):
+    rng = np.random.default_rng(6)
+    sizes = [int(x) for x in rng.integers(1, 300, 6000)]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "id long, length long")
+    got = packing.pack(rows, 6000, group=100).collect()
+    assert sorted(r.id for r in got) == list(range(6000))
+    alone = packing.pack(rows, 6000, group=100, spare=0).collect()
+    least = packing.lower_bound(np.array(sizes), 2048)
+    assert valid(got, 2048) <= least + 2 < valid(alone, 2048) - 20
+    tiny = spark.range(3000).selectExpr("id", "cast(2 as bigint) as length")
+    assert valid(packing.pack(tiny, 3000, group=200).collect(), 2048) == 3
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_local_search_never_worsens_a_packing(seed):
     rnd = np.random.default_rng(seed)
