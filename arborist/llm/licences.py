@@ -7,6 +7,7 @@ covered to its threshold gives its label and a span. Base phrases are looked up
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -58,14 +59,65 @@ TEMPLATES = {
     "proprietary": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form",
 }
 
+# Further passages of the same licences, and other licences; what is before a colon is the label.
+PARTS = {
+    "mit:conditions": """The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd:endorsement": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission.""",
+    "bsd:warranty": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+        GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+        OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "isc:warranty": """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+        SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
+        THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "apache-2:warranty": """Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
+        License for the specific language governing permissions and limitations under the License.""",
+    "apache-2:title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "gpl:warranty": """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details. You should have received a copy of the GNU General Public License along with this program.""",
+    "gpl:preamble": """The GNU General Public License is a free, copyleft license for software and other kinds of works. The
+        licenses for most software and other practical works are designed to take away your freedom to share and change the
+        works.""",
+    "lgpl:warranty": """This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+        the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public
+        License for more details.""",
+    "agpl": """it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either
+        version 3 of the License, or (at your option) any later version.""",
+    "unlicense:terms": """Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+        source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+        for any purpose, including commercial applications, and to alter it and redistribute it freely""",
+    "boost": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+        and transmit the Software, and to prepare derivative works of the Software""",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nd": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+}
+
 
 class Scanner:
     """Automaton of all templates, and the phrases as bytes between spaces."""
 
     def __init__(self, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> None:
-        templates = TEMPLATES if templates is None else templates
+        templates = TEMPLATES | PARTS if templates is None else templates
         phrases = PHRASES if phrases is None else phrases
-        self.labels = list(templates)
+        self.labels = [name.partition(":")[0] for name in templates]
         self.vocabulary: dict[bytes, int] = {}
         known = self.vocabulary
         items = [[known.setdefault(w, len(known)) for w in alnum_words(t.encode())] for t in templates.values()]
@@ -105,17 +157,20 @@ class Scanner:
                     found += [(item, at - n, end + 1 - n, n) for item, end in self.places[v]]
         return found
 
-    def spans(self, words: list[bytes]) -> list[tuple[int, int, str, float]]:
-        """(start, end, label, share of the template covered) of the best chain of each template."""
-        by: dict[int, list[tuple[int, int, int]]] = {}
+    def chains(self, words: list[bytes]) -> list[tuple[int, int, int, int]]:
+        """(template, start, end, words covered) of the best chain from every match that begins one.
+
+        A match goes on from an earlier one that ends at most GAP words before it, if its place in the template lies
+        further on; words that both cover count once. It takes the one that covers most.
+        """
+        by: dict[int, set[tuple[int, int, int]]] = {}
         for item, at, place, n in self.matches(words):
-            by.setdefault(item, []).append((at, place, n))
+            by.setdefault(item, set()).add((at, place, n))
         found = []
         for item, pieces in by.items():
-            pieces = sorted(set(pieces))
             open_: list[tuple[int, int, int, int]] = []  # text end, template end, covered, text start
-            best = (0, 0, 0, 0)
-            for at, place, n in pieces:
+            best: dict[int, tuple[int, int]] = {}  # by text start: covered, text end
+            for at, place, n in sorted(pieces):
                 open_ = [x for x in open_ if at - x[0] <= GAP]
                 mine = (at + n, place + n, n, at)
                 for end, upto, covered, first in open_:
@@ -123,15 +178,41 @@ class Scanner:
                     if skip < n and covered + n - skip > mine[2]:
                         mine = (at + n, place + n, covered + n - skip, first)
                 open_.append(mine)
-                best = max(best, mine, key=lambda x: (x[2], -x[3]))
-            found.append((best[3], best[0], self.labels[item], best[2] / self.sizes[item]))
-        return sorted(found)
+                if mine[2] > best.get(mine[3], (0, 0))[0]:
+                    best[mine[3]] = (mine[2], mine[0])
+            found += [(item, start, end, covered) for start, (covered, end) in best.items()]
+        return found
+
+    def spans(self, words: list[bytes], covered: float = 0.0) -> list[tuple[int, int, str, float]]:
+        """(start, end, label, share of the template covered) of chains of at least a share; those of one label do not overlap.
+
+        Where they would, the one with the larger share stays, then the one with more words, then the earlier one. A span
+        that lies in one of another label with more covered words goes.
+        """
+        ranked = sorted((-n / self.sizes[k], -n, start, end, k) for k, start, end, n in self.chains(words) if n >= covered * self.sizes[k])
+        taken: dict[str, list[tuple[int, int]]] = {}  # by label: sorted, apart
+        found = []
+        for share, _, start, end, k in ranked:
+            label = self.labels[k]
+            others = taken.setdefault(label, [])
+            at = bisect_left(others, (start, end))
+            if (at and others[at - 1][1] > start) or (at < len(others) and others[at][0] < end):
+                continue
+            others.insert(at, (start, end))
+            found.append((start, -end, label, -share, round(-share * self.sizes[k])))
+        # a span inside one that covers more words of another template is a part of that licence's wording
+        out, open_ = [], []
+        for mine in sorted(found):
+            open_ = [x for x in open_ if -x[1] > mine[0]] + [mine]
+            if not any(x[1] <= mine[1] and x[4] > mine[4] for x in open_):
+                out.append((mine[0], -mine[1], *mine[2:4]))
+        return out
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", scanner: Scanner | None = None, covered: float = COVERED) -> DataFrame:
     """`keep` columns, n_words, base and spans (arrays of start, end, label, score) of every row.
 
-    spans holds template chains covered to the threshold or more; score in base is 1. Null texts have no words;
+    spans holds every template chain covered to the threshold or more; score in base is 1. Null texts have no words;
     repeated rows are scanned each; the templates are fixed, so nothing grows with the input.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scanner or Scanner())
@@ -147,7 +228,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "
                 words = alnum_words(text)
                 counts.append(len(words))
                 base.append(named([(*x, 1.0) for x in scanner.base(words)]))
-                spans.append(named([x for x in scanner.spans(words) if x[3] >= covered]))
+                spans.append(named(scanner.spans(words, covered)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:k], pa.array(counts, pa.int64()), pa.array(base, kind), pa.array(spans, kind)],
                 names=[*batch.schema.names[:k], "n_words", "base", "spans"],

@@ -66,3 +66,56 @@ def test_matches_are_the_maximal_ones():
         got = scanner.matches([w.encode() for w in ws])
         assert {(at, n) for _, at, _, n in got} == want
         assert all(item[p : p + n] == ws[at : at + n] for _, at, p, n in got)
+
+
+def chained(pieces, size):
+    """For each text start, the most template words that matches in order can cover from there, trying all of them."""
+    best = {}
+
+    def go(at, used, covered, first):
+        best[first] = max(best.get(first, 0), covered)
+        for k in range(at, len(pieces)):
+            text, place, n = pieces[k]
+            end, upto = used
+            skip = max(0, end - text, upto - place)
+            if text - end <= licences.GAP and skip < n:
+                go(k + 1, (text + n, place + n), covered + n - skip, first)
+
+    for k, (text, place, n) in enumerate(pieces):
+        go(k + 1, (text + n, place + n), n, text)
+    return best
+
+
+def test_chains_against_all_chains():
+    rnd = random.Random(8)
+    item = [f"w{k}" for k in range(40)]
+    scanner = licences.Scanner({"one": " ".join(item)}, {})
+    many = 0
+    for _ in range(60):
+        ws = []
+        while len(ws) < 90:
+            at = rnd.randrange(36)
+            ws += item[at : at + rnd.randrange(3, 14)] + ["x"] * rnd.choice([0, 1, 3, 60])
+        pieces = sorted({(at, place, n) for _, at, place, n in scanner.matches([w.encode() for w in ws])})
+        want = chained(pieces, len(item))
+        got = scanner.chains([w.encode() for w in ws])
+        many += len(got) > 1
+        # a chain found is possible, and the best of all chains is found
+        assert all(covered <= want[start] for _, start, _, covered in got)
+        assert max(c for *_, c in got) == max(want.values())
+    assert many > 20
+
+
+def test_every_covered_notice_has_a_span():
+    text = licences.TEMPLATES["mit"]
+    n = len(words(text))
+    for between in (0, 1, 60, 500):
+        ws = [w.encode() for w in words(" ".join([text, "x " * between, text, "x " * between, " ".join(text.split()[4:])]))]
+        got = licences.Scanner().spans(ws, 0.6)
+        assert [(s, label) for s, _, label, _ in got] == [(0, "mit"), (n + between, "mit"), (2 * n + 2 * between, "mit")]
+    both = licences.TEMPLATES["mit"] + " " + licences.PARTS["mit:conditions"]
+    assert [x[2:] for x in licences.Scanner().spans([w.encode() for w in words(both)], 0.6)] == [("mit", 1.0), ("mit", 1.0)]
+    names = ["cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa"]
+    for name in names:
+        text = (licences.TEMPLATES | licences.PARTS)[name]
+        assert [x[2] for x in licences.Scanner().spans([w.encode() for w in words(text)], 0.6)] == [name]
