@@ -30,7 +30,8 @@ BLOCK = frozenset(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math title textarea object head".split())
+#: Elements without text of the page: scripts, styles, form input and what is not rendered.
+RAW = frozenset("script style template iframe title textarea head".split())
 #: An opening tag closes these open elements, up to the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -46,6 +47,7 @@ HINTS = (
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""(?:class|id|role|itemprop)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
+_COMMENT = re.compile(r"<!--(?:-?>|.*?--!?>)", re.S)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -99,8 +101,9 @@ def blocks(page: str | None) -> list[Block]:
         if lt == n:
             break
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+            # a comment may close at once, or with an exclamation mark
+            m = _COMMENT.match(page, lt)
+            at = n if m is None else m.end()
             continue
         if page.startswith(("<!", "<?"), lt):
             end = page.find(">", lt)
@@ -115,8 +118,6 @@ def blocks(page: str | None) -> list[Block]:
         closing, name = m[1], m[2].lower()
         if name in RAW and not closing:
             flush()
-            if m[3].endswith("/") and name in ("svg", "math"):
-                continue
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             if end is None and name == "head":
                 continue
@@ -262,8 +263,15 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS,
     return Field({f: (float(weights[k, 0]), float(weights[k, 1])) for f, k in index.items()}, theta[-4:].reshape(2, 2).tolist())
 
 
-def labelled_page(rnd: random.Random) -> tuple[str, list[tuple[str, int]]]:
-    """A made-up page and its (block text, 1 if main) pairs, for training and tests."""
+LAYOUTS = ("regions", "columns", "divisions")
+
+
+def labelled_page(rnd: random.Random, layout: str = "regions") -> tuple[str, list[tuple[str, int]]]:
+    """A made-up page and its (block text, 1 if main) pairs, for training and tests.
+
+    The layout is of regions (article or main beside nav, aside and so on), of the columns of a table, or of nested
+    divisions.
+    """
     marks: list[tuple[str, int]] = []
     vocabulary = [f"{a}{b}" for a in "ba de fi go lu mar ne or pi su ta vu".split() for b in ("", "n", "len", "rit", "so", "ved")]
 
@@ -299,6 +307,35 @@ def labelled_page(rnd: random.Random) -> tuple[str, list[tuple[str, int]]]:
                 out.append(f'{named("ad", "ads", "advert", "promo", "newsletter")}{text(2, 20, 0, ".")}</div>')
         return "".join(out)
 
+    def written(parts: list[str]) -> tuple[str, list[tuple[str, int]]]:
+        inside = "".join(parts)
+        return f"<!DOCTYPE html><html><head><title>{rnd.choice(vocabulary)}</title></head><body>{inside}</body></html>", marks
+
+    if layout == "columns":
+        wide = rnd.choice(["", ' width="100%"', ' class="main"', ' id="content"'])
+        head = [f"<tr><td colspan=2>{text(1, 6, 0)}</td></tr>", maybe(0.5, lambda: f'<tr><td colspan=2 class="banner">{text(2, 12, 0)}</td></tr>')]
+        menu = f'<td class="{rnd.choice(["menu", "nav", "left", "side"])}">' + "<br>".join(f'<a href="/{k}">{text(1, 3, 0)}</a>' for k in range(rnd.randint(2, 8))) + "</td>"
+        body = f"<td{wide}>{article()}</td>"
+        right = maybe(0.5, lambda: f'<td class="{rnd.choice(["related", "sidebar", "ads"])}"><b>{text(1, 3, 0)}</b><ul>{links(3)}</ul></td>')
+        foot = f'<tr><td colspan=3 class="footer">{text(2, 20, 0, ".")}</td></tr>'
+        return written(["<table>", *head, "<tr>", menu, body, right, "</tr>", foot, "</table>"])
+    if layout == "divisions":
+        opened = rnd.choice(['<div role="main">', '<div class="col text">', '<section class="story">', '<div class="row"><div class="entry">', '<div id="main">'])
+        closed = "</section>" if opened.startswith("<section") else "</div>" * opened.count("<div")
+        before = [
+            named("top header", "site-header") + text(1, 5, 0) + maybe(0.5, lambda: f"<span>{text(1, 3, 0)}</span>") + "</div>",
+            named("top-menu", "main-menu", "nav bar") + " ".join(f'<a href="/{k}">{text(1, 2, 0)}</a>' for k in range(1)) + "</div>",
+            maybe(0.4, lambda: named("cookie bar", "alert box", "notice") + text(4, 30, 0, ".") + "</div>"),
+            maybe(0.4, lambda: named("login box", "search box") + f"<form>{text(1, 3, 0)}<input name=q><button>{text(1, 1, 0)}</button></form></div>"),
+        ]
+        main = opened + article() + maybe(0.2, lambda: f"<noscript>{text(2, 30, 1, '.')}</noscript>") + closed
+        after = [
+            maybe(0.4, lambda: named("related posts", "recommended") + f"<ul>{links(4)}</ul></div>"),
+            maybe(0.5, lambda: named("user comments", "replies") + "".join(f"<div><b>{text(1, 2, 0)}</b><p>{text(2, 50, 0, '.')}</p></div>" for _ in range(rnd.randint(1, 4))) + "</div>"),
+            maybe(0.2, lambda: f"<noscript>{text(4, 9, 0, '.')}</noscript>"),
+            named("page footer", "bottom") + f"<p>{text(2, 25, 0, '.')}</p></div>",
+        ]
+        return written([*before, main, *after])
     top = [
         maybe(0.5, lambda: f"<header>{text(1, 6, 0)}</header>"),
         maybe(0.3, lambda: named("header", "masthead") + text(1, 12, 0, ".") + "</div>"),
@@ -324,9 +361,11 @@ def labelled_page(rnd: random.Random) -> tuple[str, list[tuple[str, int]]]:
         maybe(0.8, lambda: f"<footer>&copy; {text(2, 40, 0, '.')}</footer>"),
         maybe(0.2, lambda: named("footer", "bottom") + f"<p>{text(2, 40, 0, '.')}</p></div>"),
     ]
-    made = head + body + "".join(tail)
-    page = f"<!DOCTYPE html><html><head><title>{rnd.choice(vocabulary)}</title></head><body>{made}</body></html>"
-    return page, marks
+    if rnd.random() < 0.05:  # an article and nothing else
+        bare = article()
+        made = opened + bare + closed
+        return f"<!DOCTYPE html><html><body>{made}</body></html>", [m for m in marks if m[0] in bare]
+    return written([head, body, *tail])
 
 
 def labelled(page: str, marks: list[tuple[str, int]]) -> tuple[list[list[str]], list[int]]:
@@ -338,9 +377,15 @@ def labelled(page: str, marks: list[tuple[str, int]]) -> tuple[list[list[str]],
 
 @cache
 def default_field(pages: int = PAGES, seed: int = 11) -> Field:
-    """The field fitted on `pages` made-up labelled pages."""
+    """The field fitted on `pages` made-up labelled pages, half of them of the first layout."""
+    return fitted(LAYOUTS, pages, seed)
+
+
+def fitted(layouts: tuple[str, ...], pages: int = PAGES, seed: int = 11) -> Field:
+    """A field fitted on made-up labelled pages of the given layouts."""
     rnd = random.Random(seed)
-    return train([labelled(*labelled_page(rnd)) for _ in range(pages)])
+    kinds = [layouts[0] if k % 2 == 0 else layouts[1 + k // 2 % (len(layouts) - 1)] if len(layouts) > 1 else layouts[0] for k in range(pages)]
+    return train([labelled(*labelled_page(rnd, kind)) for kind in kinds])
 
 
 def main_text(page: str | None, field: Field) -> list[str]:
