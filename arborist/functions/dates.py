@@ -33,6 +33,11 @@ def moment(micros: Column, tz: Column | int | None = None) -> Column:
     return F.when(micros.isNotNull(), F.struct(micros.cast("bigint").alias("micros"), zone.cast("int").alias("tz")))
 
 
+def now() -> Column:
+    """The moment of the query in UTC, the same for all rows."""
+    return moment(F.unix_micros(F.current_timestamp()), 0)
+
+
 def from_timestamp(c: Column, tz: int | None = None) -> Column:
     """A moment of a TIMESTAMP_NTZ or DATE column."""
     return moment(_micros(c), tz)
@@ -252,6 +257,18 @@ def format_moment(m: Column, text: str) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def format_in(m: Column, text: str, language: str | None, calendar: str | None) -> Column:
+    """format_moment for a language and calendar: English and the Gregorian calendar; others are named before what is used instead."""
+    made = format_moment(m, text)
+    calendar = (calendar or "AD").rpartition(":")[2]
+    if not re.fullmatch(r"[A-Za-z][\w.\-]*", calendar):
+        raise XdmError("FOFD1340", f"bad calendar {calendar!r}")
+    said = "" if calendar in ("AD", "ISO", "CE") else "[Calendar: AD]"
+    if language and not re.match(r"en(-|$)", language, re.I):
+        said = "[Language: en]" + said
+    return F.concat(F.lit(said), made) if said else made
+
+
 def _component(m: Column, t: Column, spec: str, text: str) -> Column:
     found = re.fullmatch(r"([YMDdFHhmsfPZz])([0-9]+|Nn|N|n|I|i)?(?:o|t)?(?:,(\*|[0-9]+)(?:-(\*|[0-9]+))?)?", spec)
     if found is None:

@@ -304,6 +304,42 @@ def tokenize(c: Column, pattern: str, flags: str = "") -> Column:
     return F.when(text(c) == "", F.array().cast("array<string>")).otherwise(F.split(text(c), java, -1))
 
 
+def dynamic(pattern: Column, flags: Column, nonempty: bool = False) -> Column:
+    """Java patterns of a column of patterns, each translated once a batch; `nonempty`: FORX0003 where one matches the empty string."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def run(p, f):
+        known: dict = {}
+        for key in set(zip(p, f, strict=True)):
+            known[key] = None if key[0] is None else java_pattern(key[0], key[1] or "")
+        return pd.Series([known[k] for k in zip(p, f, strict=True)], dtype=object)
+
+    java = run(pattern, flags)
+    if not nonempty:
+        return java
+    failed = F.raise_error(F.concat(F.lit("FORX0003: matches the empty string: "), pattern)).cast("string")
+    return F.when(F.rlike(F.lit(""), java), failed).otherwise(java)
+
+
+def dynamic_replacement(replacement: Column, pattern: Column, flags: Column) -> Column:
+    """Replacements of a column in Java's notation."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def run(r, p, f):
+        def one(to, of, on):
+            if to is None or of is None:
+                return None
+            if "q" in (on or ""):
+                return to.replace("\\", "\\\\").replace("$", "\\$")
+            return java_replacement(to, _Translator(of, False), of)
+
+        return pd.Series([one(*x) for x in zip(r, p, f, strict=True)], dtype=object)
+
+    return run(replacement, pattern, flags)
+
+
 def analyze(c: Column, pattern: str, flags: str = "") -> Column:
     """Array of (matched, text) of the parts of a string in order, for xsl:analyze-string."""
     java = java_pattern(pattern, flags)

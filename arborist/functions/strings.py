@@ -18,13 +18,18 @@ UNICODE_SPACE = "\\x{9}-\\x{d} \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202
 COLLATIONS = {CODEPOINT: lambda c: c, ASCII_CASELESS: lambda c: F.translate(c, _UPPER, _LOWER)}
 
 
+def register_collation(uri: str, fold) -> None:
+    """Make a collation known: `fold` turns a column into one that compares by code points as the collation wants."""
+    COLLATIONS[uri] = fold
+
+
 def collation(uri: str | None):
     """The folding of a collation; FOCH0002 for one that is not registered."""
     from arborist.xdm import XdmError
 
     if uri is None:
         return COLLATIONS[CODEPOINT]
-    if not uri.startswith("http"):
+    if uri not in COLLATIONS and ":" not in uri:
         uri = f"{CODEPOINT.rpartition('/')[0]}/{uri}"
     if uri not in COLLATIONS:
         raise XdmError("FOCH0002", f"unknown collation {uri}")

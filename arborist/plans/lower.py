@@ -18,14 +18,17 @@ from pyspark.sql import functions as F
 from arborist.functions import dates, numeric, strings
 from arborist.operators import axes
 from arborist.operators.values import with_string_value
-from arborist.plans.registry import NUMERIC, SCALAR, Val, compare, convert, ebv_value, numeric_type, promote
-from arborist.xdm import ATTRIBUTE, COLUMNS, DOCUMENT, ELEMENT, XdmError
+from arborist.plans.registry import NUMERIC, SCALAR, Val, as_string, compare, convert, ebv_value, numeric_type, promote, qname
+from arborist.xdm import ATTRIBUTE, COLUMNS, DOCUMENT, ELEMENT, NAMESPACE, XdmError
 from arborist.xpath import ast as X
 from arborist.xpath.parser import parse, uses_position
 
 #: Names of complex elements that the driver holds at most.
 MOST_NAMES = 10_000
 
+#: The variable that holds what current() returns.
+CURRENT = "current()"
+
 _names = count()
 
 
@@ -91,12 +94,18 @@ class Seq:
 class Engine:
     """Queries over a node table."""
 
-    def __init__(self, nodes: DataFrame, namespaces: dict[str, str] | None = None, keys: dict | None = None) -> None:
+    def __init__(
+        self, nodes: DataFrame, namespaces: dict[str, str] | None = None, keys: dict | None = None,
+        collections: dict[str | None, list[str] | None] | None = None, base_uri: str | None = None, decimal_formats: dict | None = None,
+    ) -> None:
+        """collections: names (None: the default one) to base URIs of their documents (None: all); without any, all documents are the default one."""
         # nodes that are partitioned by document stay so through joins on (document, node): no shuffle between steps
         nodes.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.nodes = nodes.select(*COLUMNS)
         self.namespaces = namespaces or {}
         self.keys = keys or {}
+        self.collections = {None: None} if collections is None else collections
+        self.base_uri, self.decimal_formats = base_uri, decimal_formats or {}
         self._complex: set[str] | None = None
 
     # entry points
@@ -104,7 +113,8 @@ class Engine:
     def documents(self) -> Loop:
         """One iteration for each document, with its document node as focus."""
         roots = axes.prefixed(self.nodes.where(F.col("kind") == DOCUMENT), "__root_")
-        return Loop(roots, ("__root_doc_id",), Node("__root_"))
+        root = Node("__root_")
+        return Loop(roots, ("__root_doc_id",), root, ((CURRENT, root),))
 
     def xpath(self, text: str, **literals) -> DataFrame:
         """(doc_id, pos, item columns) of an expression for every document; keyword arguments are literal variables.
@@ -122,7 +132,8 @@ class Engine:
         pos = F.row_number().over(Window.partitionBy("__root_doc_id").orderBy(*seq.order)) if not seq.single else F.lit(1)
         doc = F.col("__root_doc_id").alias("doc_id")
         if isinstance(seq.item, Atom):
-            return seq.df.select(doc, pos.alias("pos"), F.col(seq.item.col).alias("value"))
+            col = F.col(seq.item.col)
+            return seq.df.select(doc, pos.alias("pos"), (as_string(Val(col, seq.item.type)) if seq.item.type in ("mixed", "QName") else col).alias("value"))
         p = seq.item.prefix
         df = seq.df.withColumn("__pos", pos)
         df = self.valued(df, seq.item, "__value")
@@ -229,6 +240,8 @@ class Engine:
     def scalar(self, e: X.Expr, loop: Loop) -> tuple[Loop, Val]:
         """An expression of at most one item as a column over the loop, which may have been joined with more columns."""
         if isinstance(e, X.Lit):
+            if e.type == "integer" and abs(int(e.value)) >= 2**63:
+                raise XdmError("FOAR0002", f"{e.value} is beyond 64 bits")
             value = F.lit(e.value)
             return loop, Val(value.cast("decimal(38,18)") if e.type == "decimal" else value.cast("bigint") if e.type == "integer" else value, e.type, lit=e.value)
         if isinstance(e, X.Ctx):
@@ -335,7 +348,7 @@ class Engine:
         if isinstance(e, X.Var):
             bound = self.lookup(loop, e.name)
             return isinstance(bound.item if isinstance(bound, Seq) else bound, Node)
-        return isinstance(e, X.Call) and e.name in ("id", "idref", "key", "root")
+        return isinstance(e, X.Call) and (e.name in ("id", "idref", "key", "root", "doc", "document", "collection") or (e.name == "current" and self.is_node(X.Var(CURRENT), loop)))
 
     def existential(self, e: X.Expr, loop: Loop) -> DataFrame | None:
         """Rows with the keys of the iterations for which a test holds because some item exists; None for other tests."""
@@ -524,18 +537,50 @@ class Engine:
         if name in ("not", "empty", "exists", "boolean"):
             loop, b = self.boolean(e, loop) if name != "boolean" else self.boolean(args[0], loop)
             return loop, Val(b, "boolean")
+        if name == "count" and n == 1 and self.beside(args[0], loop):
+            return self.count_beside(args[0], loop)
         if name in ("count", "sum", "avg", "min", "max") and n:
             if isinstance(args[0], X.Binary) and args[0].op == "to":
                 return self.range_aggregate(name, args[0], loop)
             return self.aggregate_call(name, self.sequence(args[0], loop), loop, args)
+        if name == "current" and not n:
+            return self.scalar(X.Var(CURRENT), loop)
+        if name == "static-base-uri" and not n:
+            return loop, Val(F.lit(self.base_uri).cast("string"), "anyURI" if self.base_uri is not None else "empty")
+        if name == "resolve-uri" and n == 1:
+            if self.base_uri is None:
+                raise XdmError("FONS0005", "there is no base URI")
+            loop, v = self.scalar(args[0], loop)
+            return loop, Val(strings.resolve_uri(convert(v, "string").col, F.lit(self.base_uri)), "anyURI")
+        if name == "format-number" and n == 3:
+            loop, v = self.scalar(args[0], loop)
+            loop, p = self.scalar(args[1], loop)
+            loop, f = self.scalar(args[2], loop)
+            if f.lit not in self.decimal_formats or p.lit is None:
+                raise XdmError("XTDE1280", f"no decimal format {f.lit}")
+            return loop, Val(numeric.format_number(convert(v, "double").col, str(p.lit), self.decimal_formats[f.lit]), "string")
+        if name == "doc-available" and n == 1:
+            loop, v = self.scalar(args[0], loop)
+            u = fresh("u")
+            known = self.nodes.where((F.col("kind") == DOCUMENT) & F.col("base_uri").isNotNull()).select(F.col("base_uri").alias(u)).distinct()
+            df = loop.df.join(known, convert(v, "string").col == F.col(u), "left")
+            return loop.over(df), Val(F.col(u).isNotNull(), "boolean")
+        if name in ("resolve-QName", "namespace-uri-for-prefix") and n == 2:
+            return self.prefix_call(name, args, loop)
+        if name == "codepoints-to-string" and n == 1:
+            seq = self.sequence(args[0], loop)
+            order = [F.col(o) for o in seq.order]
+            made = lambda v: F.transform(F.array_sort(F.collect_list(F.struct(*order, convert(v, "integer").col.alias("v")))), lambda x: x["v"])
+            loop, v = self.aggregate(seq, loop, lambda v: made(v), "array")
+            return loop, Val(F.coalesce(strings.codepoints_to_string(v.col), F.lit("")), "string")
         if name == "string-join":
-            loop, sep = self.scalar(args[1], loop)
+            loop, sep = self.scalar(args[1], loop) if n > 1 else (loop, Val(F.lit(""), "string"))
             seq = self.sequence(args[0], loop)
             order = [F.col(o) for o in seq.order]
             parts = lambda v: F.transform(F.array_sort(F.collect_list(F.struct(*order, convert(v, "string").col.alias("v")))), lambda x: x["v"])
             loop, v = self.aggregate(seq, loop, lambda v: parts(v), "array")
             return loop, Val(F.coalesce(strings.string_join(v.col, convert(sep, "string").col), F.lit("")), "string")
-        if name in ("name", "local-name", "namespace-uri", "node-name", "base-uri", "document-uri", "generate-id", "line-number", "column-number", "nilled", "root"):
+        if name in ("name", "local-name", "namespace-uri", "node-name", "base-uri", "document-uri", "generate-id", "line-number", "column-number", "nilled"):
             return self.node_call(name, args, loop)
         if name == "lang":
             return self.lang(args, loop)
@@ -557,6 +602,49 @@ class Engine:
             values.append(v)
         return loop, made(*values)
 
+    def prefix_call(self, name: str, args: list[X.Expr], loop: Loop) -> tuple[Loop, Val]:
+        """The namespace of a prefix among those in scope at an element, or a lexical name resolved by it."""
+        loop, v = self.scalar(args[0], loop)
+        c = fresh("q")
+        loop = loop.rebased(loop.df.withColumn(c, convert(v, "string").col))
+        text = F.coalesce(F.col(c), F.lit(""))
+        prefix = text if name == "namespace-uri-for-prefix" else F.when(F.contains(text, F.lit(":")), F.substring_index(text, ":", 1)).otherwise("")
+        seq = self.sequence(args[1], loop)
+        spaces = self.sequence(X.Step("namespace", X.Test("name")), replace(self.iterate(seq, loop, None), focus=seq.item))
+        p = spaces.item.prefix
+        spaces = replace(spaces, df=spaces.df.where(F.coalesce(F.col(p + "local"), F.lit("")) == prefix))
+        loop, uri = self.aggregate(spaces, loop, lambda: F.max(F.col(p + "value")), "anyURI")
+        if name == "namespace-uri-for-prefix":
+            return loop, uri
+        missing = F.raise_error(F.concat(F.lit("FONS0004: prefix is not declared: "), prefix)).cast("string")
+        return loop, qname(F.coalesce(uri.col, F.when(prefix == "", "").otherwise(missing)), F.col(c))
+
+    def beside(self, e: X.Expr, loop: Loop) -> bool:
+        """Whether an expression is all nodes of a test before or after a focus that is a node."""
+        return isinstance(e, X.Step) and e.axis in ("preceding", "following") and not e.predicates and isinstance(loop.focus, Node)
+
+    def count_beside(self, e: X.Step, loop: Loop) -> tuple[Loop, Val]:
+        """count(preceding::x) and count(following::x): running counts along each document, not pairs of nodes.
+
+        The nodes before a node are those whose last descendant lies before it; those after it begin behind its own.
+        """
+        p, w = loop.focus.prefix, fresh("w")
+        before = e.axis == "preceding"
+        counted = axes.prefixed(self.nodes.where(~F.col("kind").isin(ATTRIBUTE, NAMESPACE, DOCUMENT)), w)
+        counted = counted.where(axes.condition(e.test, ELEMENT, w))
+        rows = counted.select(F.col(w + "doc_id").alias("d"), F.col(w + ("last" if before else "pre")).alias("k"), F.lit(1).alias("one"), F.lit(None).cast("int").alias("at"))
+        place = F.col(p + ("pre" if before else "last"))
+        asked = loop.df.select(F.col(p + "doc_id").alias("d"), place.alias("k"), F.lit(0).alias("one"), F.col(p + "pre").alias("at")).distinct()
+        # those that ask come before what ends at the same place, and after what begins there
+        run = Window.partitionBy("d").orderBy(F.col("k"), F.col("one").asc() if before else F.col("one").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        total = F.sum("one").over(Window.partitionBy("d"))
+        counts = rows.unionByName(asked).withColumn("n", F.sum("one").over(run)).withColumn("all", total).where(F.col("at").isNotNull())
+        value = F.col("n") if before else F.col("all") - F.col("n")
+        name = fresh("n")
+        counts = counts.select(F.col("d").alias(name + "d"), F.col("at").alias(name + "p"), value.cast("bigint").alias(name))
+        df = loop.df.join(counts, (F.col(p + "doc_id") == F.col(name + "d")) & (F.col(p + "pre") == F.col(name + "p")), "left").drop(name + "d", name + "p")
+        return loop.over(df), Val(F.coalesce(F.col(name), F.lit(0).cast("bigint")), "integer")
+
     def range_aggregate(self, name: str, e: X.Binary, loop: Loop) -> tuple[Loop, Val]:
         """Aggregates of lo to hi in closed form: no range is made."""
         from arborist.operators import sequences
@@ -616,7 +704,7 @@ class Engine:
             return loop, Val(F.when(F.coalesce(at("prefix"), F.lit("")) != "", F.concat(at("prefix"), F.lit(":"), local)).otherwise(local), "string")
         made = {
             "local-name": (local, "string"), "namespace-uri": (F.coalesce(at("uri"), F.lit("")), "anyURI"),
-            "node-name": (F.when(at("local").isNotNull(), F.concat(F.when(at("uri") != "", F.concat(F.lit("{"), at("uri"), F.lit("}"))).otherwise(""), local)), "string"),
+            "node-name": (F.when(at("local").isNotNull(), F.struct(F.coalesce(at("uri"), F.lit("")).alias("uri"), F.coalesce(at("prefix"), F.lit("")).alias("prefix"), local.alias("local"))), "QName"),
             "base-uri": (at("base_uri"), "anyURI"), "document-uri": (F.when(at("kind") == DOCUMENT, at("base_uri")), "anyURI"),
             "generate-id": (F.when(at("pre").isNull(), "").otherwise(F.concat(F.lit("d"), at("doc_id").cast("string"), F.lit("n"), at("pre").cast("string"))), "string"),
             "line-number": (at("line").cast("bigint"), "integer"), "column-number": (at("col").cast("bigint"), "integer"),
@@ -853,7 +941,10 @@ class Engine:
                 values.append((s, inner.df, v))
             kind = values[0][2].type
             for _, _, v in values[1:]:
-                kind = promote(Val(F.lit(None), kind), Val(F.lit(None), v.type))[0].type
+                try:
+                    kind = promote(Val(F.lit(None), kind), Val(F.lit(None), v.type))[0].type
+                except XdmError:
+                    kind = "mixed"
             for k, (s, df, v) in enumerate(values):
                 order = [F.col(o) for o in s.order] or [F.lit(0)]
                 ranked = df.withColumn(branch + "r", F.row_number().over(Window.partitionBy(*loop.keys).orderBy(*order)))
@@ -926,9 +1017,28 @@ class Engine:
         if name == "key":
             return self.by_key(args, loop)
         if name == "collection":
+            which = None
+            if args:
+                loop, v = self.scalar(args[0], loop)
+                if v.type != "empty" and v.lit is None:
+                    raise XdmError("XPST0003", "a collection must be named by a literal here")
+                which = v.lit
+            if which not in self.collections:
+                raise XdmError("FODC0002", f"no collection {which}")
+            p = fresh("r")
+            roots = self.nodes.where(F.col("kind") == DOCUMENT)
+            if self.collections[which] is not None:
+                roots = roots.where(F.col("base_uri").isin(self.collections[which]))
+            return Seq(loop.df.crossJoin(axes.prefixed(roots, p)), (p + "doc_id", p + "pre"), Node(p))
+        if name in ("doc", "document"):
+            return self.by_uri(name, args, loop)
+        if name == "root":
+            seq = self.sequence(args[0] if args else X.Ctx(), loop)
             p = fresh("r")
             roots = axes.prefixed(self.nodes.where(F.col("kind") == DOCUMENT), p)
-            return Seq(loop.df.crossJoin(roots), (p + "doc_id", p + "pre"), Node(p))
+            return self.document_order(Seq(seq.df.join(roots, F.col(seq.item.prefix + "doc_id") == F.col(p + "doc_id")), (p + "doc_id", p + "pre"), Node(p), seq.single, False), loop)
+        if name == "current":
+            return self.sequence(X.Var(CURRENT), loop)
         if name == "in-scope-prefixes":
             seq = self.sequence(args[0], loop)
             inner = self.sequence(X.Step("namespace", X.Test("name")), replace(self.iterate(seq, loop, None), focus=seq.item))
@@ -990,6 +1100,23 @@ class Engine:
             hits = wanted.join(refs, (F.col(doc) == F.col(p + "doc_id")) & (F.col(token) == F.col("__ref"))).drop("__ref")
         return self.document_order(Seq(hits, (p + "doc_id", p + "pre"), Node(p, name == "idref"), False, False), loop)
 
+    def by_uri(self, name: str, args: list[X.Expr], loop: Loop) -> Seq:
+        """doc() and document(): a join with the documents by base URI; FODC0002 where there is none."""
+        seq = self.sequence(args[0], loop)
+        inner, v = self.atomized(Loop(seq.df, loop.keys, seq.item), seq.item)
+        u, p = fresh("u"), fresh("r")
+        uri = convert(v, "string").col
+        if self.base_uri is not None:
+            uri = strings.resolve_uri(uri, F.lit(self.base_uri))
+        wanted = inner.df.withColumn(u, uri).where(F.col(u).isNotNull())
+        # of documents that share a URI the first counts
+        roots = self.nodes.where((F.col("kind") == DOCUMENT) & F.col("base_uri").isNotNull())
+        roots = roots.withColumn("__k", F.row_number().over(Window.partitionBy("base_uri").orderBy("doc_id"))).where("__k = 1").drop("__k")
+        hits = wanted.join(axes.prefixed(roots, p), F.col(u) == F.col(p + "base_uri"), "left")
+        missing = F.raise_error(F.concat(F.lit("FODC0002: no document "), F.col(u))).cast("boolean")
+        hits = hits.where(F.when(F.col(p + "pre").isNotNull(), True).otherwise(missing))
+        return self.document_order(Seq(hits, (p + "doc_id", p + "pre"), Node(p), seq.single and name == "doc", False), loop)
+
     def by_key(self, args: list[X.Expr], loop: Loop) -> Seq:
         """key(): an equi join with the key relation (doc_id, name, value, pre), built once a key declaration."""
         name = args[0].value
@@ -1023,7 +1150,7 @@ class Engine:
         loop = self.documents()
         seq = self.sequence(parse(rows, self.namespaces), loop)
         ranked = self.ranked(seq, loop)
-        inner = replace(self.iterate(replace(ranked, order=self.order_of(seq.item) or ranked.order), loop, None), focus=seq.item)
+        inner = replace(self.iterate(replace(ranked, order=self.order_of(seq.item) or ranked.order), loop, CURRENT), focus=seq.item)
         parsed = {name: parse(text, self.namespaces) for name, text in columns.items()}
         inner = self.prefetch(inner, *parsed.values())
         made = {}
@@ -1038,7 +1165,7 @@ class Engine:
 
 SEQUENCE_CALLS = {
     "distinct-values", "reverse", "subsequence", "remove", "insert-before", "index-of", "tokenize", "string-to-codepoints", "id", "idref", "key",
-    "collection", "data", "unordered", "zero-or-one", "one-or-more", "exactly-one", "trace", "in-scope-prefixes",
+    "collection", "doc", "document", "root", "current", "data", "unordered", "zero-or-one", "one-or-more", "exactly-one", "trace", "in-scope-prefixes",
 }
 
 

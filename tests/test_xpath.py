@@ -104,3 +104,57 @@ def test_more_complex_names_than_are_held(spark, monkeypatch):
     assert not any(engine.simple("child", parse(f"child::{n}").test) for n in names)
     assert [r.value for r in engine.xpath("string(//n7)").collect()] == ["xy7"]
     assert [r.value for r in engine.xpath("//s").collect()] == ["z"]
+
+
+def _values(engine, text):
+    return [r.value for r in engine.xpath(text).orderBy("pos").collect()]
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    texts = [
+        (1, '<stock xmlns:k="urn:k" day="2024-02-29"><k:bin no="4" cut="[0-9]" form="#"><n>a1b22</n></k:bin><bin no="7" cut="b"><n>cab</n></bin><see>two.xml</see></stock>', "one.xml"),
+        (2, "<spare><bin no='9'/></spare>", "two.xml"),
+    ]
+    nodes = shred(spark.createDataFrame(texts, "doc_id long, xml string, base_uri string"), uri_col="base_uri")[0].cache()
+    return nodes
+
+
+LIBRARY = [
+    ("/stock/*/matches(n, @cut)", [True, True]), ("/stock/*[@cut]/replace(n, @cut, '-')", ["a-b--", "ca-"]), ("/stock/bin/tokenize(n, @cut)", ["ca", ""]),
+    ("/stock/*[@no]/translate(n, n, 'xyz')", ["xyz", "xyz"]), ("/stock/bin/codepoints-to-string(string-to-codepoints(n))", ["cab"]),
+    ("count(root(/stock/bin)/*)", [1]), ("/stock/see/doc(.)/spare/bin/@no/string(.)", ["9"]), ("document(/stock/see)//@no/string()", ["9"]),
+    ("/stock/see/doc-available(.)", [True]), ("doc-available('three.xml')", [False]), ("count(collection('spares')//bin)", [1]), ("count(collection()/*)", [2]),
+    ("/stock/*[1]/node-name(.) eq QName('urn:k', 'z:bin')", [True]), ("/stock/*[1]/namespace-uri-from-QName(node-name(.))", ["urn:k"]),
+    ("/stock/*[1]/prefix-from-QName(node-name(.))", ["k"]), ("/stock/local-name-from-QName(resolve-QName('k:x', .))", ["x"]),
+    ("/stock/namespace-uri-for-prefix('k', .)", ["urn:k"]), ("/stock/string(QName('urn:j', 'j:y'))", ["j:y"]),
+    ("static-base-uri()", ["http://shop.example/a/"]), ("resolve-uri('b')", ["http://shop.example/a/b"]),
+    ("/stock/format-date(xs:date(@day), '[D] [MNn] [Y]', 'de', 'AD', ())", ["[Language: en]29 February 2024"]),
+    ("format-date(xs:date('2024-02-29'), '[D]', 'en', 'CB', ())", ["[Calendar: AD]29"]), ("format-number(1234.5, '#.##0,0', 'de')", ["1.234,5"]),
+    ("current-date() = xs:date(substring(string(current-dateTime()), 1, 10))", [True]), ("hours-from-time(current-time()) lt 24", [True]),
+    ("element-available('xsl:if')", [True]), ("function-available('doc', 1)", [True]), ("function-available('nothing')", [False]),
+    ("(1, /stock/bin/n, true())", ["1", "cab", "true"]), ("count(distinct-values((1, 1.0, '1', true())))", [3]), ("(1, 'a')[1] = 1", [True]),
+    ("/stock/see/count(preceding::n)", [2]), ("/stock/*[1]/count(following::*)", [3]), ("/stock/bin/n/count(preceding::*)", [2]), ("/stock/bin/@no/count(preceding::bin)", [0]),
+    ("string-join(('a', 'b'))", ["ab"]), ("/stock/bin[@no = current()/stock/bin/@no]/n/string()", ["cab"]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LIBRARY)
+def test_library(shop, text, want):
+    from arborist.functions.numeric import DecimalFormat
+
+    base = "http://shop.example/a/" if "base" in text or "resolve-uri" in text else None
+    engine = Engine(shop, {"k": "urn:k"}, collections={None: None, "spares": ["two.xml"]}, base_uri=base, decimal_formats={"de": DecimalFormat(point=",", group=".")})
+    got = engine.xpath(text).where("doc_id = 1").orderBy("pos").collect()
+    assert [r.value for r in got] == want
+
+
+def test_library_errors(shop):
+    engine = Engine(shop)
+    for text, code in (("collection('nope')", "FODC0002"), ("1 + 99999999999999999999", "FOAR0002"), ("resolve-uri('a')", "FONS0005"), ("format-number(1, '0', 'x')", "XTDE1280"), ("QName('u', 'a') lt QName('u', 'b')", "XPTY0004")):
+        with pytest.raises(XdmError) as e:
+            engine.xpath(text)
+        assert e.value.code == code
+    for text, code in (("doc('nope')", "FODC0002"), ("/stock/bin/replace(n, '', concat(@no, ''))", "FORX0003"), ("/stock/namespace-uri-from-QName(resolve-QName('q:x', .))", "FONS0004")):
+        with pytest.raises(Exception, match=code):
+            engine.xpath(text).collect()
