@@ -36,18 +36,22 @@ def numeric_type(kind: str) -> str:
     raise XdmError("XPTY0004", f"{kind} is no number")
 
 
+# The type that each built-in type is derived from.
+_DERIVED = {
+    "byte": "short", "short": "int", "int": "long", "long": "integer", "unsignedByte": "unsignedShort", "unsignedShort": "unsignedInt",
+    "unsignedInt": "unsignedLong", "unsignedLong": "nonNegativeInteger", "positiveInteger": "nonNegativeInteger", "nonNegativeInteger": "integer",
+    "negativeInteger": "nonPositiveInteger", "nonPositiveInteger": "integer", "integer": "decimal", "yearMonthDuration": "duration",
+    "dayTimeDuration": "duration", "dateTimeStamp": "dateTime", "ID": "NCName", "IDREF": "NCName", "ENTITY": "NCName", "NCName": "Name", "Name": "token",
+    "NMTOKEN": "token", "language": "token", "token": "normalizedString", "normalizedString": "string",
+}
+
+
 def derives(kind: str, wanted: str) -> bool:
     """Whether a type is another one or derived from it."""
     kind = {"untyped": "untypedAtomic"}.get(kind, kind)
     if wanted in (kind, "anyAtomicType"):
         return True
-    if kind in casts.INTEGERS and kind != "integer":
-        return derives("integer", wanted)
-    if kind == "integer":
-        return wanted == "decimal"
-    if kind in ("yearMonthDuration", "dayTimeDuration"):
-        return wanted == "duration"
-    return kind in casts.STRINGS and wanted == "string"
+    return kind in _DERIVED and derives(_DERIVED[kind], wanted)
 
 
 def convert(v: Val, kind: str, castable: bool = False) -> Val:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,17 +60,50 @@ def check_facets(t: Simple) -> None:
             raise XdmError("cos-applicable-facets", f"{name} of {kind}")
         if name == "pattern":
             regex.java_pattern(value, schema=True)
+    _narrows(t, kind)
     bounds = dict(t.facets)
     if "minLength" in bounds and "maxLength" in bounds and int(bounds["minLength"]) > int(bounds["maxLength"]):
         raise XdmError("minLength-less-than-equal-to-maxLength", str(t.name))
 
 
+#: Facets whose value may only grow, or only fall, in a derived type.
+_GROW, _FALL = ("minLength", "minInclusive", "minExclusive"), ("maxLength", "maxInclusive", "maxExclusive", "totalDigits", "fractionDigits")
+
+
+def _narrows(t: Simple, kind: str) -> None:
+    """Raises where a facet allows what the base type's does not (bounds of numbers, and lengths)."""
+    base = t.base
+    inherited: dict[str, str] = {}
+    while isinstance(base, Simple):
+        for name, value in base.facets:
+            inherited.setdefault(name, value)
+        base = base.base
+    numbers = kind in ("decimal", *casts.INTEGERS)
+    for name, value in t.facets:
+        old = inherited.get(name)
+        if old is None or (name[3:] in ("Inclusive", "Exclusive") and not numbers):
+            continue
+        if (name in _GROW and Decimal(value) < Decimal(old)) or (name in _FALL and Decimal(value) > Decimal(old)) or (name == "length" and value != old):
+            raise XdmError(f"{name}-valid-restriction", f"{name} {value} of {t.name}, where the base type has {old}")
+
+
 def _ordered(c: Column, kind: str) -> Column:
     """A value as something that compares like the value space."""
     v = casts.cast(c, kind)
     return dates.instant(v) if kind in ("date", "dateTime", "time") else v
 
 
+def _moments(a: Column, b: Column, facet: str) -> Column:
+    """Whether a moment keeps a bound; one with and one without a time zone compare only where 14 hours do not matter."""
+    x, y = dates.instant(a), dates.instant(b)
+    apart = F.when(a["tz"].isNull() == b["tz"].isNull(), F.lit(0)).otherwise(14 * 3600 * dates.SECOND)
+    sure = apart == 0
+    return {
+        "minInclusive": F.when(sure, x >= y).otherwise(x > y + apart), "maxInclusive": F.when(sure, x <= y).otherwise(x < y - apart),
+        "minExclusive": x > y + apart, "maxExclusive": x < y - apart,
+    }[facet]
+
+
 def valid(c: Column, t: Simple) -> Column:
     """Whether a string is in a simple type, as a codegen predicate; null counts as invalid."""
     return F.coalesce(_valid(c, t), F.lit(False))
@@ -117,6 +151,9 @@ def _facets(v: Column, t: Simple, words: Column | None) -> Column:
         elif name == "maxLength":
             ok = ok & (size <= int(value))
         elif name in ("minInclusive", "maxInclusive", "minExclusive", "maxExclusive"):
+            if kind in ("date", "dateTime", "time"):
+                ok = ok & _moments(casts.cast(v, kind), casts.cast(F.lit(value), kind), name)
+                continue
             a, b = _ordered(v, kind), _ordered(F.lit(value), kind)
             ok = ok & {"minInclusive": a >= b, "maxInclusive": a <= b, "minExclusive": a > b, "maxExclusive": a < b}[name]
         elif name == "totalDigits":
@@ -144,15 +181,22 @@ class Particle:
     name: tuple[str, str] | None = None
     names: list[tuple[str, str]] = field(default_factory=list)  # an element and those that may stand for it
     wildcard: tuple[str, str] = ("##any", "strict")
+    target: str = ""  # of the schema document, for ##other and ##targetNamespace
+    without: tuple = ()  # namespaces and names that a wildcard does not take
 
 
 class Symbols:
-    """A private character for every element name of a schema; other names share one."""
+    """A private character for every element name of a schema, and for the other names of each namespace that wildcards name."""
 
     OTHER = chr(0xF8FF)
 
     def __init__(self) -> None:
         self.of: dict[tuple[str, str], str] = {}
+        self.spaces: dict[str, str] = {}
+
+    def space(self, uri: str) -> str:
+        """The symbol of the names of a namespace that the schema does not mention."""
+        return self.spaces.setdefault(uri, chr(0xF8FE - len(self.spaces)))
 
     def get(self, name: tuple[str, str]) -> str:
         return self.of.setdefault(name, chr(0xE000 + len(self.of)))
@@ -163,6 +207,9 @@ class Symbols:
         if not self.of:
             return col
         names = F.create_map(*[F.lit(x) for (u, n), s in self.of.items() for x in (f"{{{u}}}{n}", s)])
+        if self.spaces:
+            spaces = F.create_map(*[F.lit(x) for pair in self.spaces.items() for x in pair])
+            col = F.coalesce(F.try_element_at(spaces, F.coalesce(F.col(uri), F.lit(""))), col)
         return F.coalesce(F.try_element_at(names, F.concat(F.lit("{"), F.coalesce(F.col(uri), F.lit("")), F.lit("}"), F.col(local))), col)
 
 
@@ -191,14 +238,116 @@ def _body(p: Particle, symbols: Symbols, target: str) -> str:
     return f"(?:{''.join(parts)})"
 
 
-def _wildcard(p: Particle, symbols: Symbols, target: str) -> str:
+def namespace_fits(uri: str, p: Particle) -> bool:
+    """Whether a wildcard takes names of a namespace."""
+    if uri in {"" if x == "##local" else p.target if x == "##targetNamespace" else x for x in p.without if isinstance(x, str)}:
+        return False
     allowed = p.wildcard[0]
     if allowed == "##any":
-        return f"[{chr(0xE000)}-{Symbols.OTHER}]"
-    fits = {"##other": lambda u: u not in ("", target)}.get(allowed) or (lambda u: u in {"" if x == "##local" else target if x == "##targetNamespace" else x for x in allowed.split()})
-    chars = "".join(s for (u, _), s in symbols.of.items() if fits(u))
-    extra = Symbols.OTHER if allowed == "##other" else ""
-    return f"[{chars}{extra}]" if chars or extra else "(?!)"
+        return True
+    if allowed == "##other":
+        return uri not in ("", p.target)
+    return uri in {"" if x == "##local" else p.target if x == "##targetNamespace" else x for x in allowed.split()}
+
+
+def wildcard_symbols(p: Particle, symbols: Symbols) -> str:
+    """The symbols of all names that a wildcard takes."""
+    chars = "".join(s for name, s in symbols.of.items() if namespace_fits(name[0], p) and name not in p.without)
+    chars += "".join(s for uri, s in symbols.spaces.items() if namespace_fits(uri, p))
+    return chars + (Symbols.OTHER if p.wildcard[0] in ("##any", "##other") else "")
+
+
+def _wildcard(p: Particle, symbols: Symbols, target: str) -> str:
+    chars = wildcard_symbols(p, symbols)
+    return f"[{chars}]" if chars else "(?!)"
+
+
+# derivation by restriction
+
+
+def _term(p: Particle, symbols: Symbols):
+    """A content model as a term: a set of symbols, ("seq", ...), ("alt", ...) or ("times", term, least, most)."""
+    if p.kind in ("element", "any"):
+        body = frozenset(wildcard_symbols(p, symbols) if p.kind == "any" else (symbols.get(n) for n in (p.names or [p.name])))
+    elif p.kind == "choice":
+        body = _alt([_term(c, symbols) for c in p.children])
+    else:
+        body = _seq([_term(c, symbols) for c in p.children])
+    return _repeated(body, p.least, p.most)
+
+
+def _seq(parts):
+    flat = [y for x in parts for y in (x[1:] if isinstance(x, tuple) and x[0] == "seq" else (x,))]
+    if any(x == frozenset() for x in flat):
+        return frozenset()
+    return flat[0] if len(flat) == 1 else ("seq", *flat)
+
+
+def _alt(parts):
+    flat = {y for x in parts for y in (x[1:] if isinstance(x, tuple) and x[0] == "alt" else (x,)) if y != frozenset()}
+    if not flat:
+        return frozenset()
+    return next(iter(flat)) if len(flat) == 1 else ("alt", *sorted(flat, key=repr))
+
+
+def _repeated(x, least: int, most: int | None):
+    if most == 0:
+        return ("seq",)
+    return x if (least, most) == (1, 1) else ("times", x, least, most)
+
+
+def _nullable(x) -> bool:
+    if isinstance(x, frozenset):
+        return False
+    if x[0] == "seq":
+        return all(map(_nullable, x[1:]))
+    if x[0] == "alt":
+        return any(map(_nullable, x[1:]))
+    return x[2] == 0 or _nullable(x[1])
+
+
+def _after(x, symbol: str):
+    """What may follow a symbol at the start of a term."""
+    if isinstance(x, frozenset):
+        return ("seq",) if symbol in x else frozenset()
+    if x[0] == "alt":
+        return _alt([_after(y, symbol) for y in x[1:]])
+    if x[0] == "times":
+        return _seq([_after(x[1], symbol), _repeated(x[1], max(x[2] - 1, 0), None if x[3] is None else x[3] - 1)])
+    out = []
+    for k, y in enumerate(x[1:], 1):
+        out.append(_seq([_after(y, symbol), *x[k + 1 :]]))
+        if not _nullable(y):
+            break
+    return _alt(out)
+
+
+def _symbols_of(x) -> frozenset:
+    return x if isinstance(x, frozenset) else frozenset().union(*(_symbols_of(y) for y in (x[1:2] if x[0] == "times" else x[1:])))
+
+
+def included(a: Particle, b: Particle, symbols: Symbols, most: int = 5000) -> bool:
+    """Whether every word of one model is a word of another; models of over `most` pairs of states, and xs:all, count as such."""
+    if any(k.kind == "all" for k in (a, b)):
+        return True
+    start = (_term(a, symbols), _term(b, symbols))
+    seen, todo = {start}, [start]
+    letters = _symbols_of(start[0])
+    while todo and len(seen) <= most:
+        x, y = todo.pop()
+        if _nullable(x) and not _nullable(y):
+            return False
+        for s in letters:
+            nx = _after(x, s)
+            if nx == frozenset():
+                continue
+            ny = _after(y, s)
+            if ny == frozenset():
+                return False
+            if (nx, ny) not in seen:
+                seen.add((nx, ny))
+                todo.append((nx, ny))
+    return True
 
 
 def prefixes(p: Particle, symbols: Symbols, target: str = "") -> str:
@@ -226,7 +375,7 @@ def all_ok(s: Column, p: Particle, symbols: Symbols) -> tuple[Column, Column]:
     """(no child too many or unknown, no child missing) of an xs:all group over the symbols of the children."""
     known, fits, full = [], F.lit(True), F.lit(True)
     for c in p.children:
-        chars = [symbols.get(n) for n in (c.names or [c.name])]
+        chars = list(wildcard_symbols(c, symbols)) if c.kind == "any" else [symbols.get(n) for n in (c.names or [c.name])]
         known += chars
         n = F.char_length(s) - F.char_length(F.translate(s, "".join(chars), ""))
         if c.most is not None:
