@@ -158,3 +158,43 @@ def node_nilled(spark, sf_dir):
 @R.add("num_text", "SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE CAST(p_size // 2 AS VARCHAR) || '.5' END AS v FROM part")
 def num_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), numeric.double_text(F.col("p_size") / F.lit(2.0)).alias("v"))
+
+
+_customers("re_dynamic", {"a": "matches(name, concat('0', @id, '$'))", "b": "replace(name, concat(@id, '$'), '!')", "c": "count(tokenize(name, substring(name, 10, 1)))", "d": "translate(name, @id, 'x')"},
+           "regexp_matches(c_name, '0' || c_custkey || '$') AS a, regexp_replace(c_name, c_custkey || '$', '!') AS b, CAST(len(string_split(c_name, substr(c_name, 10, 1))) AS BIGINT) AS c, translate(c_name, CAST(c_custkey AS VARCHAR), 'x') AS d")
+_customers("qname_parts", {"a": "local-name-from-QName(node-name(.))", "b": "prefix-from-QName(QName('urn:c', concat('p:', local-name())))", "c": "QName('urn:c', 'q:x') eq QName('urn:c', 'x')", "d": "namespace-uri-from-QName(QName('urn:c', 'x'))"},
+           "'customer' AS a, 'p' AS b, true AS c, 'urn:c' AS d")
+_customers("count_beside", {"a": "count(preceding::customer)", "b": "count(following::customer)"}, "CAST(pos - 1 AS BIGINT) AS a, CAST(count(*) OVER (PARTITION BY doc_id) - pos AS BIGINT) AS b")
+_customers("mixed_distinct", {"a": "count(distinct-values((@id, number(@id), 1, true())))", "b": "string-join((@id, 1.5, true()), '|')"}, "CAST(CASE WHEN c_custkey = 1 THEN 3 ELSE 4 END AS BIGINT) AS a, c_custkey || '|1.5|true' AS b")
+_customers("codepoints", {"a": "codepoints-to-string(reverse(string-to-codepoints(name)))"}, "reverse(c_name) AS a")
+_customers("date_format_language", {"a": "format-date(xs:date('2024-02-29'), '[D] [MNn]', 'en', 'AD', ())", "b": "format-date(xs:date('2024-02-29'), '[Y]', 'de', (), ())", "c": "current-dateTime() ge xs:dateTime('2024-01-01T00:00:00Z')"},
+           "'29 February' AS a, '[Language: en]2024' AS b, true AS c")
+_customers("node_root", {"a": "count(root(.)/*)", "b": "name(root()/*)", "c": "count(current()/..)"}, "CAST(1 AS BIGINT) AS a, 'world' AS b, CAST(1 AS BIGINT) AS c")
+
+
+def _shipping(spark, sf_dir):
+    """A document for every supplier that names its nation's document, and those of the nations."""
+    from arborist.plans.lower import Engine
+    from arborist.sources.shred import shred
+
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("bigint").alias("doc_id"), F.concat(F.lit('<supplier at="n'), "s_nationkey", F.lit('.xml"/>')).alias("xml"), F.concat(F.lit("s"), "s_suppkey", F.lit(".xml")).alias("uri")
+    )
+    nations = table(spark, sf_dir, "nation").select(
+        (-1 - F.col("n_nationkey")).cast("bigint").alias("doc_id"), F.concat(F.lit("<nation><name>"), "n_name", F.lit("</name></nation>")).alias("xml"), F.concat(F.lit("n"), "n_nationkey", F.lit(".xml")).alias("uri")
+    )
+    nodes = shred(suppliers.unionByName(nations), uri_col="uri")[0]
+    return Engine(nodes, collections={"coast": ["n3.xml", "n7.xml"]})
+
+
+@R.add("doc_join", "SELECT CAST(s_suppkey AS BIGINT) AS doc_id, n_name AS value, true AS known, false AS lost FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def doc_join(spark, sf_dir):
+    """doc() in the language: each supplier's nation."""
+    found = _shipping(spark, sf_dir).table("/supplier", value="string(doc(@at)/nation/name)", known="doc-available(@at)", lost="doc-available(concat(@at, 'x'))")
+    return found.select("doc_id", "value", "known", "lost")
+
+
+@R.add("collection_named", "SELECT CAST(s_suppkey AS BIGINT) AS doc_id, CAST(2 AS BIGINT) AS n, (SELECT string_agg(n_name, ',' ORDER BY n_nationkey DESC) FROM nation WHERE n_nationkey IN (3, 7)) AS names FROM supplier")
+def collection_named(spark, sf_dir):
+    found = _shipping(spark, sf_dir).table("/supplier", n="count(collection('coast'))", names="string-join(collection('coast')/nation/name, ',')")
+    return found.select("doc_id", "n", "names")

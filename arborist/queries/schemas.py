@@ -133,11 +133,15 @@ def xsd_all(spark, sf_dir):
     return _count(Validator(schema, shred(_items(spark, sf_dir))[0]).structure())
 
 
-@R.add("dtd_validate", "SELECT o_orderkey AS doc_id, 'content' AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderstatus <> 'F'")
+@R.add("dtd_validate", "SELECT o_orderkey AS doc_id, 'content' AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def dtd_validate(spark, sf_dir):
+    """Orders without a line, whose content the model does not allow."""
     from arborist.sources.shred import shred
 
-    found = dtd.validate(shred(_items(spark, sf_dir))[0], dtd.parse_dtd("<!ELEMENT o (a, b?, c)><!ELEMENT a (#PCDATA)><!ELEMENT b (#PCDATA)><!ELEMENT c ANY>"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<line>"), F.col("l_returnflag"), F.lit("</line>")))).alias("lines"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")).join(lines, "doc_id", "left")
+    texts = orders.select("doc_id", F.concat(F.lit('<order id="'), "doc_id", F.lit('">'), F.coalesce("lines", F.lit("")), F.lit("</order>")).alias("xml"))
+    found = dtd.validate(shred(texts)[0], dtd.parse_dtd("<!ELEMENT order (line+)><!ATTLIST order id CDATA #REQUIRED><!ELEMENT line (#PCDATA)>"))
     return found.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
@@ -179,3 +183,90 @@ def shred_round_trip(spark, sf_dir):
     return again.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
+
+
+def _schema(body: str, attributes: str = "") -> str:
+    return f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" {attributes}>{body}</xs:schema>'
+
+
+_SCOPES = _schema("""<xs:element name="o"><xs:complexType><xs:sequence><xs:element name="g" maxOccurs="unbounded"><xs:complexType><xs:sequence>
+  <xs:element name="k" minOccurs="0" maxOccurs="unbounded"><xs:complexType><xs:attribute name="v" type="xs:integer"/><xs:attribute name="to" type="xs:decimal"/></xs:complexType></xs:element>
+ </xs:sequence></xs:complexType>
+ <xs:key name="own"><xs:selector xpath="k"/><xs:field xpath="@v"/></xs:key>
+ <xs:keyref name="near" refer="own"><xs:selector xpath="k"/><xs:field xpath="@to"/></xs:keyref></xs:element></xs:sequence></xs:complexType></xs:element>""")
+
+
+def _identity(spark, sf_dir, made):
+    from arborist.sources.shred import shred
+
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), made.alias("xml"))
+    return _count(Validator(Schema(_SCOPES), shred(docs)[0]).identity_errors())
+
+
+@R.add("xsd_keyref_scope", "SELECT o_orderkey AS doc_id, 'cvc-identity-constraint.4.3' AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderstatus <> 'F'")
+def xsd_keyref_scope(spark, sf_dir):
+    """A reference finds the keys of its own group only: F refers to it, O to another group's key, P to none."""
+    to = F.when(F.col("o_orderstatus") == "F", "1").when(F.col("o_orderstatus") == "O", "2").otherwise("3")
+    return _identity(spark, sf_dir, F.concat(F.lit('<o><g><k v="1" to="'), to, F.lit('"/></g><g><k v="2"/></g></o>')))
+
+
+@R.add("xsd_key_values", "SELECT o_orderkey AS doc_id, 'cvc-identity-constraint.4.2.2' AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'cvc-identity-constraint.4.3', 1 FROM orders WHERE o_orderstatus = 'P'")
+def xsd_key_values(spark, sf_dir):
+    """Keys are numbers: 07 repeats 7 (F), a reference 7.0 finds 7 (O), 7.1 does not (P)."""
+    second = F.when(F.col("o_orderstatus") == "F", '<k v="07"/>').when(F.col("o_orderstatus") == "O", '<k v="8" to="7.0"/>').otherwise('<k v="8" to="7.1"/>')
+    return _identity(spark, sf_dir, F.concat(F.lit('<o><g><k v="7"/>'), second, F.lit("</g></o>")))
+
+
+@R.add("xsd_two_namespaces", "SELECT o_orderkey AS doc_id, 'cvc-datatype-valid.1' AS code, CAST(CASE o_orderstatus WHEN 'O' THEN 2 ELSE 1 END AS BIGINT) AS n FROM orders WHERE o_orderstatus <> 'F'")
+def xsd_two_namespaces(spark, sf_dir):
+    """Two types called size, an integer and a truth value, each by its own namespace."""
+    from arborist.sources.catalog import map_resolver
+    from arborist.sources.shred import shred
+
+    other = _schema('<xs:simpleType name="size"><xs:restriction base="xs:boolean"/></xs:simpleType>', 'targetNamespace="urn:b"')
+    body = """<xs:import namespace="urn:b" schemaLocation="b"/><xs:element name="o" xmlns:b="urn:b"><xs:complexType><xs:sequence>
+      <xs:element name="n" type="size"/><xs:element name="t" type="b:size"/></xs:sequence></xs:complexType></xs:element>
+      <xs:simpleType name="size"><xs:restriction base="xs:int"/></xs:simpleType>"""
+    s = F.col("o_orderstatus")
+    made = F.when(s == "F", "<n>4</n><t>true</t>").when(s == "O", "<n>true</n><t>4</t>").otherwise("<n>4</n><t>4</t>")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('<a:o xmlns:a="urn:a">'), made, F.lit("</a:o>")).alias("xml"))
+    schema = Schema(_schema(body, 'targetNamespace="urn:a" xmlns="urn:a"'), resolve=map_resolver({"b": other}))
+    return _count(Validator(schema, shred(docs)[0]).structure())
+
+
+@R.add("xsd_instance_types", "SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'O' THEN 'cvc-complex-type.2.4.b' ELSE 'cvc-elt.4.3' END AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderstatus <> 'F'")
+def xsd_instance_types(spark, sf_dir):
+    """xsi:type names a derived type with its content (F), without it (O), or a type that is not derived (P)."""
+    from arborist.sources.shred import shred
+
+    body = """<xs:element name="o" type="base"/><xs:complexType name="base"/><xs:complexType name="apart"/><xs:complexType name="more"><xs:complexContent><xs:extension base="base">
+      <xs:sequence><xs:element name="v"/></xs:sequence></xs:extension></xs:complexContent></xs:complexType>"""
+    s = F.col("o_orderstatus")
+    made = F.when(s == "F", 'xsi:type="more"><v/></o>').when(s == "O", 'xsi:type="more"/>').otherwise('xsi:type="apart"/>')
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('<o xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" '), made).alias("xml"))
+    return _count(Validator(Schema(_schema(body)), shred(docs)[0]).structure())
+
+
+@R.add("xsd_alternatives", "SELECT o_orderkey AS doc_id, 'cvc-complex-type.2.4.b' AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'P'")
+def xsd_alternatives(spark, sf_dir):
+    """The type depends on an attribute: status P needs a reason."""
+    from arborist.sources.shred import shred
+
+    body = """<xs:complexType name="any"><xs:attribute name="status"/></xs:complexType><xs:complexType name="held"><xs:complexContent><xs:extension base="any">
+      <xs:sequence><xs:element name="reason"/></xs:sequence></xs:extension></xs:complexContent></xs:complexType>
+      <xs:element name="o" type="any"><xs:alternative test="@status = 'P'" type="held"/></xs:element>"""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('<o status="'), "o_orderstatus", F.lit('"/>')).alias("xml"))
+    return _count(Validator(Schema(_schema(body)), shred(docs)[0]).structure())
+
+
+@R.add("xsd_wildcards", "SELECT o_orderkey AS doc_id, code, CAST(1 AS BIGINT) AS n FROM (SELECT o_orderkey, 'cvc-complex-type.2.4.a' AS code FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'cvc-datatype-valid.1' FROM orders WHERE o_orderstatus = 'P')")
+def xsd_wildcards(spark, sf_dir):
+    """A lax wildcard of one namespace and names without one: F keeps it, O has another namespace, P a declared element that is not valid."""
+    from arborist.sources.shred import shred
+
+    body = """<xs:element name="known" type="xs:int"/><xs:element name="o"><xs:complexType><xs:sequence>
+      <xs:any namespace="urn:x ##local" processContents="lax" maxOccurs="unbounded"/></xs:sequence></xs:complexType></xs:element>"""
+    s = F.col("o_orderstatus")
+    made = F.when(s == "F", '<o><x:a xmlns:x="urn:x"/><known>1</known></o>').when(s == "O", '<o><y:a xmlns:y="urn:y"/></o>').otherwise("<o><known>x</known></o>")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), made.alias("xml"))
+    return _count(Validator(Schema(_schema(body)), shred(docs)[0]).structure())
