@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -18,10 +17,12 @@ _ALNUM = bytes(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's ``spark.checkpoint.dir`` alone; set a temporary one only where none is set."""
+    """Leave the cluster's ``spark.checkpoint.dir`` alone; set a temporary one only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="arborist-checkpoints-"))
 
 
@@ -31,15 +32,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner delete shuffle files that nothing refers to any more, now rather than at its next turn.
-
-    After a lineage has been cut, its shuffles are garbage on the driver; executors keep the files until then.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def space_words(text: bytes | None) -> list[bytes]:
     """Lower-cased (A-Z) words between ASCII white space, as UTF-8 bytes; null has none."""
     return text.lower().split() if text else []

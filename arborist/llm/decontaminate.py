@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborist.llm.automaton import SuffixAutomaton
-from arborist.llm.common import alnum_words, arrow_rows, binary
+from arborist.llm.common import alnum_words, arrow_rows, binary, cut
 
 WINDOW = 10
 #: Item words in one automaton at most (some 200 bytes a word on every worker).
@@ -89,22 +89,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Index]:
-    """Indexes of all items; items are dealt to as many blocks as keep each within the bound by the items' bytes."""
+def blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[tuple[Index, bool]]:
+    """(index, whether it is the last) of all items, made one at a time; items are dealt to as many blocks as keep each within the bound by their bytes."""
     rows = items.select(F.col(item_col).cast("string").alias("name"), binary(text_col).alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // (2 * block_words)))
-    found = []
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        found.append(Index([(r.name, bytes(r.text)) for r in part.distinct().toLocalIterator()], window))
-    return [x for x in found if x.vocabulary] or [Index([], window)]
+        yield Index([(r.name, bytes(r.text)) for r in part.distinct().toLocalIterator()], window), k == n - 1
 
 
-def _passes(docs: DataFrame, indexes: list[Index], keep: tuple[str, ...], text_col: str, max_coverage: float | None = None) -> DataFrame:
+def _passes(docs: DataFrame, indexes: Iterator[tuple[Index, bool]], keep: tuple[str, ...], text_col: str, max_coverage: float | None = None) -> DataFrame:
     """`keep` columns, __text, __n, __spans and __items after all indexes, one pass of the documents for each.
 
-    With max_coverage the last pass also takes the spans from the texts, and drops documents that are hit beyond it.
+    With several, each pass is cut from the next one by a checkpoint and its index is given up, so that driver and workers
+    hold one at a time. With max_coverage the last pass also takes the spans from the texts, and drops documents that are
+    hit beyond it.
     """
     sc = docs.sparkSession.sparkContext
     shape = docs.select(*keep).schema
@@ -113,9 +113,9 @@ def _passes(docs: DataFrame, indexes: list[Index], keep: tuple[str, ...], text_c
         *keep, binary(text_col).alias("__text"), F.lit(0).alias("__n"),
         F.array().cast(_SPANS).alias("__spans"), F.array().cast("array<string>").alias("__items"),
     )
-    for at, index in enumerate(indexes):
+    for index, last in indexes:
         shared = sc.broadcast(index)
-        cleans = max_coverage is not None and at == len(indexes) - 1
+        cleans = max_coverage is not None and last
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, cleans=cleans) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -145,6 +145,9 @@ def _passes(docs: DataFrame, indexes: list[Index], keep: tuple[str, ...], text_c
                 yield out if all(stays) else out.filter(pa.array(stays))
 
         rows = rows.mapInArrow(run, kinds)
+        if not last:
+            rows = cut(rows)
+            shared.destroy()
     return rows
 
 

@@ -1,7 +1,7 @@
 """Quality rules in DataFrame functions: per-document measures and cross-document line frequency.
 
-A line's frequency is the number of distinct texts of its host (exact copies count once) in which its normal form
-occurs. Lines above the limits are boilerplate; a document that mostly consists of them is depleted.
+A line's frequency is the number of documents of its host in which its normal form occurs; where `copies` is not set,
+exact copies count as one. Lines above the limits are boilerplate; a document that mostly consists of them is depleted.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ MIN_DOCS, MAX_SHARE = 20, 0.05
 MIN_LEFT = 0.3
 #: Common lines up to this number are broadcast (8 bytes each and their hosts); more are joined by shuffle.
 BROADCAST_LINES = 100_000
+#: Parts of a host's common lines by hash; a line is looked up in one of them.
+BUCKETS = 256
 
 
 def _words(text: Column) -> Column:
@@ -78,15 +80,20 @@ def measures(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
     )
 
 
+def _host(host_col: str) -> Column:
+    """A host as a key; a null host is a host of its own."""
+    return F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit(""))
+
+
 def common_lines(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, copies: bool = True
 ) -> DataFrame:
-    """(host, lines): the hashes of a host's common lines; hosts without one are absent, a null host is host ''.
+    """(host, lines): the hashes of a host's common lines; hosts without one are absent.
 
     At most 1 / max_share times the mean number of distinct lines of a host's texts can be common.
     """
     texts = docs.where(F.col(text_col).isNotNull()).select(
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
+        _host(host_col).alias("host"),
         F.xxhash64(text_col).alias("text_hash"),
         F.col(text_col).alias("text"),
     )
@@ -95,8 +102,9 @@ def common_lines(
         "text_hash",
         F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), _has_word), _line_hash))).alias("line"),
     )
-    counts = lines.groupBy("host", "line").agg(F.countDistinct("text_hash").alias("n")).where(F.col("n") > min_docs)
-    sizes = texts.groupBy("host").agg(F.countDistinct("text_hash").alias("of"))
+    number = F.count("*") if copies else F.countDistinct("text_hash")  # a document has each of its lines once here
+    counts = lines.groupBy("host", "line").agg(number.alias("n")).where(F.col("n") > min_docs)
+    sizes = texts.groupBy("host").agg(number.alias("of"))
     return (
         counts.join(sizes, "host")
         .where(F.col("n") > max_share * F.col("of"))
@@ -114,18 +122,23 @@ def judge(
     max_share: float = MAX_SHARE,
     min_left: float = MIN_LEFT,
     broadcast_lines: int = BROADCAST_LINES,
+    copies: bool = True,
 ) -> DataFrame:
     """Every row's `keep` columns, its measures, n_common_words, kept and clean_text (common lines removed).
 
     A null text has no words and fails the base rules; repeated rows get equal verdicts; an empty table gives none.
     """
-    common = cut(common_lines(docs, text_col, host_col, min_docs, max_share)).select(
-        F.col("host").alias("__host"), F.col("lines").alias("__common")
-    )
-    n = common.agg(F.coalesce(F.sum(F.size("__common")), F.lit(0))).first()[0]
-    rows = docs.withColumn("__host", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
+    found = cut(common_lines(docs, text_col, host_col, min_docs, max_share, copies))
+    n = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    place = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.filter("lines", lambda h: place(h) == k))
+    common = found.select(F.col("host").alias("__host"), parts.alias("__common"))
+    rows = docs.withColumn("__host", _host(host_col))
     rows = rows.join(F.broadcast(common) if n <= broadcast_lines else common, "__host", "left")
-    is_common = lambda line: F.coalesce(F.array_contains("__common", _line_hash(line)), F.lit(False))
+    def is_common(line: Column) -> Column:
+        h = _line_hash(line)
+        return F.coalesce(F.array_contains(F.get("__common", place(h)), h), F.lit(False))
+
     raw = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     plain = F.when(F.col("__common").isNull(), F.lit(None)).otherwise(F.filter(raw, lambda x: _has_word(x) & is_common(x)))
     rows = rows.withColumn("__removed", plain)
@@ -162,7 +175,7 @@ def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", **l
 
 #: The judgement in DuckDB SQL, for the columns of documents.
 SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce('h' || source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
       FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),

@@ -59,12 +59,26 @@ def test_common_lines_go_and_depleted_documents_are_rejected(spark):
     rows = boilerplate()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for limit in (100_000, 0):
-        got = quality.judge(docs, broadcast_lines=limit).collect()
+        got = quality.judge(docs, broadcast_lines=limit, copies=False).collect()
         assert len(got) == len(rows)
         kept = {r.doc_id for r in got if r.kept}
         assert kept == {i for i, _, _ in rows} - {1000, 1001, 3001}
         text = {r.doc_id: r.clean_text for r in got}
         assert text[1] == rows[1][1].split("\n")[0] and text[3000] == rows[1][1] and text[2000] == rows[-4][1]
-    out = quality.clean(docs.withColumn("__host", docs.source))
+    out = quality.clean(docs.withColumn("__host", docs.source), copies=False)
     assert out.columns == ["doc_id", "text", "source", "__host"] and out.count() == len(kept)
     assert quality.clean(docs.limit(0)).count() == 0
+
+
+def test_documents_or_texts_are_counted_and_a_null_host_is_its_own(spark):
+    rnd = random.Random(4)
+    prose = lambda: " ".join(f"v{rnd.randrange(5000)}" for _ in range(60))
+    copy = prose()
+    rows = [(i, copy, "h") for i in range(40)] + [(100 + i, prose(), "h") for i in range(40)]
+    rows += [(200 + i, prose() + "\nfooter", None if i % 2 else "") for i in range(50)] + [(300 + i, prose(), None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = {c: {r.doc_id: r for r in quality.judge(docs, copies=c).collect()} for c in (True, False)}
+    assert [by[True][0].kept, by[False][0].kept] == [False, True]  # a line in 40 documents, but in one text
+    for found in by.values():
+        assert found[200].clean_text != rows[80][1] and found[201].clean_text == rows[81][1]  # 25 of 25, and 25 of 625 documents
+        assert found[100].kept and found[300].kept
