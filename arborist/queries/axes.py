@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborist.queries.base import EVENTS, GEO, LINES, Registry, engine, table
+from arborist.queries.base import EVENTS, GEO, LINES, Registry, engine, keep, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -37,7 +37,7 @@ def _shredded(spark, sf_dir, make):
     from arborist.sources.shred import shred
 
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), make.alias("xml"))
-    return Engine(shred(docs)[0].persist())
+    return Engine(keep(shred(docs)[0]))
 
 
 @R.add("axis_namespace", "SELECT o_orderkey AS doc_id, 'p' AS name, 'urn:' || o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'q', 'urn:' || o_orderpriority FROM orders")

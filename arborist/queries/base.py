@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import glob
+import os
+from collections import deque
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -10,10 +13,18 @@ from pyspark.sql import functions as F
 
 from arborist.plans.lower import Engine
 from arborist.sources import views
+from arborist.xdm import DOCUMENT
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_engines: dict[tuple, Engine] = {}
+_engines: dict[tuple, tuple[float, Engine]] = {}
+_kept: deque[DataFrame] = deque()
+
+#: Parsed tables kept at a time; the oldest one is given up for a new one.
+MOST_KEPT = 3
+
+#: Nodes of a large document that stay together.
+RANGE = 1 << 16
 
 #: xsl:key declarations of the order documents: name -> (match, use).
 KEYS = {"flag": ("line", "@flag"), "part": ("line", "@part")}
@@ -23,14 +34,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """A table that a query reads several times, kept until MOST_KEPT later ones are."""
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    while len(_kept) > MOST_KEPT:
+        _kept.popleft().unpersist()
+    return df
+
+
+def _version(sf_dir: str) -> float:
+    """When the tables of a local folder last changed; 0 for other places."""
+    files = glob.glob(f"{sf_dir}/*.parquet") + glob.glob(f"{sf_dir}/*.parquet/*")
+    return max(map(os.path.getmtime, files), default=0.0)
+
+
+def partitioned(nodes: DataFrame, parts: int) -> DataFrame:
+    """Nodes by document, or by ranges of their documents where one document is larger than a few partitions."""
+    documents = nodes.where(F.col("kind") == DOCUMENT).agg(F.max("last").alias("most"), F.sum(F.col("last") + 1).alias("all")).first()
+    if documents.most is not None and documents.most > 4 * documents["all"] / parts:
+        return nodes.repartition(parts, "doc_id", F.floor(F.col("pre") / RANGE))
+    return nodes.repartition(parts, "doc_id")
+
+
 def engine(spark: SparkSession, sf_dir: str, view: str) -> Engine:
-    """The engine over a view's node table, which is kept (on disk where memory is short) for the session."""
+    """The engine over a view's node table, which is kept (on disk where memory is short) until the tables change."""
     key = (spark.sparkContext.applicationId, sf_dir, view)
+    version = _version(sf_dir)
+    if key in _engines and _engines[key][0] != version:
+        _engines.pop(key)[1].nodes.unpersist()
     if key not in _engines:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        nodes = getattr(views, view)(spark, sf_dir).repartition(parts, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-        _engines[key] = Engine(nodes, keys=KEYS)
-    return _engines[key]
+        nodes = partitioned(getattr(views, view)(spark, sf_dir), parts).persist(StorageLevel.MEMORY_AND_DISK)
+        _engines[key] = version, Engine(nodes, keys=KEYS)
+    return _engines[key][1]
 
 
 class Registry:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborist.queries.base import GEO, LINES, Registry, engine, table
+from arborist.queries.base import GEO, LINES, Registry, engine, keep, table
 from arborist.xslt.rules import Assertion, Rule, Rules, schematron, svrl
 from arborist.xslt.serialize import serialize
 
@@ -41,7 +41,7 @@ def schematron_svrl(spark, sf_dir):
     from arborist.sources.shred import shred
 
     reports = svrl(schematron(engine(spark, sf_dir, "orders_xml"), ASSERTIONS))
-    parsed = Engine(shred(reports.withColumnRenamed("text", "xml"))[0].persist())
+    parsed = Engine(keep(shred(reports.withColumnRenamed("text", "xml"))[0]))
     return parsed.xpath("count(/*/*)").select("doc_id", F.col("value").alias("n"))
 
 
@@ -207,4 +207,4 @@ def xslt_identity(spark, sf_dir):
 
     texts = serialize(engine(spark, sf_dir, "events_xml").nodes).withColumnRenamed("text", "xml")
     made = transform(texts, Stylesheet(_IDENTITY)).select("doc_id", F.col("text").alias("xml"))
-    return Engine(shred(made)[0].persist()).xpath("count(//event[not(@id)]/v)").select("doc_id", F.col("value").alias("n"))
+    return Engine(keep(shred(made)[0])).xpath("count(//event[not(@id)]/v)").select("doc_id", F.col("value").alias("n"))

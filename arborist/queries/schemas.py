@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborist.queries.base import LINES, Registry, engine, table
+from arborist.queries.base import LINES, Registry, engine, keep, table
 from arborist.schema import dtd, rng
 from arborist.schema.model import Simple, valid
 from arborist.schema.xsd import Schema, Validator
@@ -179,7 +179,7 @@ def shred_round_trip(spark, sf_dir):
     from arborist.xslt.serialize import serialize
 
     text = serialize(engine(spark, sf_dir, "events_xml").nodes)
-    again = Engine(shred(text.withColumnRenamed("text", "xml"))[0].persist()).xpath("//event/@type")
+    again = Engine(keep(shred(text.withColumnRenamed("text", "xml"))[0])).xpath("//event/@type")
     return again.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arborist.operators import grouping, numbering, sequences, sorting
-from arborist.queries.base import EVENTS, GEO, LINES, Registry, engine, table
+from arborist.queries.base import EVENTS, GEO, LINES, Registry, engine, keep, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -26,7 +26,7 @@ R.table("range_agg", "orders_xml", "/order", {"n": "count(1 to xs:integer(@cust)
 
 
 def _events(spark, sf_dir):
-    return engine(spark, sf_dir, "events_xml").table("//event", id="number(@id)", type="string(@type)", v="number(value)").persist()
+    return keep(engine(spark, sf_dir, "events_xml").table("//event", id="number(@id)", type="string(@type)", v="number(value)"))
 
 
 @R.add("group_by", EVENTS + "SELECT doc_id, event_type AS key, count(*) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS INTEGER) AS grp FROM e GROUP BY 1, 2")
