@@ -58,6 +58,7 @@ class Grammar:
         self.scopes = 0
         self.start = self._pattern(ET.fromstring(text), "", "", None)
         self.resolve = None  # a compiled grammar is sent to the workers
+        _Restrictions(self.definitions).check(self.start)
 
     # name classes: ("name", uri, local), ("any", except), ("ns", uri, except), ("choice", a, b)
 
@@ -173,6 +174,124 @@ class Grammar:
         return ("ref", f"{scope}/")
 
 
+def _takes(names, uri: str, local: str) -> bool:
+    """Whether a name class has a name."""
+    if names[0] == "name":
+        return names[1:] == (uri, local)
+    if names[0] == "choice":
+        return _takes(names[1], uri, local) or _takes(names[2], uri, local)
+    if names[0] == "ns" and names[1] != uri:
+        return False
+    return names[-1] is None or not _takes(names[-1], uri, local)
+
+
+def _samples(names) -> set[tuple[str, str]]:
+    """Names that tell whether a name class has one in common with another: those it mentions, and one of each kind it does not."""
+    if names is None:
+        return set()
+    if names[0] == "name":
+        return {names[1:]}
+    if names[0] == "choice":
+        return _samples(names[1]) | _samples(names[2])
+    return {(names[1], "\0")} | _samples(names[2]) if names[0] == "ns" else {("\0", "\0")} | _samples(names[1])
+
+
+def _overlap(a, b) -> bool:
+    return any(_takes(a, *n) and _takes(b, *n) for n in _samples(a) | _samples(b))
+
+
+class _Restrictions:
+    """The restrictions on schemas: where patterns may stand, string sequences, attributes and interleaved names."""
+
+    #: Patterns that may not stand inside what the context names.
+    _BANNED = {
+        "attribute": {"attribute", "element"}, "list": {"list", "element", "attribute", "text", "interleave"},
+        "except": {"element", "attribute", "list", "text", "group", "interleave", "oneOrMore", "empty"},
+        "start": {"attribute", "data", "value", "list", "text", "empty", "group", "interleave", "oneOrMore"}, "repeated group": {"attribute"},
+    }
+
+    def __init__(self, definitions: dict[str, tuple]) -> None:
+        self.definitions, self.done = definitions, set()
+
+    def check(self, start: tuple) -> None:
+        self.walk(start, frozenset({"start"}), ())
+
+    def definition(self, name: str, stack: tuple) -> tuple:
+        if name in stack:
+            raise XdmError("rng", f"{name.partition('/')[2]} refers to itself outside an element")
+        if name not in self.definitions:
+            raise XdmError("rng", f"{name.partition('/')[2]} is not defined")
+        return self.definitions[name]
+
+    def walk(self, p: tuple, context: frozenset, stack: tuple) -> None:
+        kind = p[0]
+        for place in context:
+            if kind in self._BANNED.get(place, ()):
+                raise XdmError("rng", f"{kind} inside {place}")
+        if kind == "ref":
+            self.walk(self.definition(p[1], stack), context, (*stack, p[1]))
+        elif kind == "element":
+            if p not in self.done:
+                self.done.add(p)
+                self.walk(p[2], frozenset(), ())
+                self.content(p[2], ())
+        elif kind == "attribute":
+            if p[1][0] in ("any", "ns") and "repeated" not in context:
+                raise XdmError("rng", "an attribute of any name must be repeated")
+            self.walk(p[2], frozenset({"attribute"}), stack)
+        elif kind == "data" and p[3] is not None:
+            self.walk(p[3], frozenset({"except"}), stack)
+        elif kind == "list":
+            self.walk(p[1], context | {"list"}, stack)
+        elif kind == "oneOrMore":
+            self.walk(p[1], context | {"repeated"}, stack)
+        elif kind in ("group", "interleave"):
+            inner = context | {"repeated group"} if "repeated" in context else context
+            self.walk(p[1], inner, stack)
+            self.walk(p[2], inner, stack)
+            self.apart(p, stack)
+        elif kind == "choice":
+            self.walk(p[1], context, stack)
+            self.walk(p[2], context, stack)
+
+    def parts(self, p: tuple, kind: str, stack: tuple = ()) -> list[tuple]:
+        """The patterns of a kind in p, elements and attributes not entered."""
+        if p[0] == kind:
+            return [p]
+        if p[0] == "ref":
+            return self.parts(self.definition(p[1], stack), kind, (*stack, p[1]))
+        if p[0] in ("group", "interleave", "choice", "oneOrMore"):
+            return [x for c in p[1:] for x in self.parts(c, kind, stack)]
+        return []
+
+    def apart(self, p: tuple, stack: tuple) -> None:
+        """Attributes of both sides have no name in common; of interleaved sides neither have elements, and one has text at most."""
+        for kind in ("attribute", "element") if p[0] == "interleave" else ("attribute",):
+            for a in self.parts(p[1], kind, stack):
+                for b in self.parts(p[2], kind, stack):
+                    if _overlap(a[1], b[1]):
+                        raise XdmError("rng", f"two {kind}s of one name in a {p[0]}")
+        if p[0] == "interleave" and self.parts(p[1], "text", stack) and self.parts(p[2], "text", stack):
+            raise XdmError("rng", "text on both sides of an interleave")
+
+    def content(self, p: tuple, stack: tuple) -> int:
+        """0 empty, 1 elements and text, 2 a string with a type, which stands alone."""
+        if p[0] in ("empty", "notAllowed", "attribute"):
+            return 0
+        if p[0] in ("text", "element"):
+            return 1
+        if p[0] in ("data", "value", "list"):
+            return 2
+        if p[0] == "ref":
+            return self.content(self.definition(p[1], stack), (*stack, p[1]))
+        kinds = [self.content(c, stack) for c in p[1:]]
+        if p[0] == "oneOrMore":
+            kinds *= 2
+        if p[0] != "choice" and 2 in kinds and sorted(kinds)[-2] > 0:
+            raise XdmError("rng", "a string with a type beside other content")
+        return max(kinds)
+
+
 _KINDS = {"string": None, "token": None}
 
 
