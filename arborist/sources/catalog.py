@@ -120,3 +120,23 @@ def schema_locations(nodes: DataFrame, namespaces: list[str]) -> DataFrame:
     pairs = hints.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1)).alias("k")).where("size(w) >= 2")
     found = pairs.select("doc_id", F.get("w", 2 * F.col("k")).alias("namespace"), F.get("w", 2 * F.col("k") + 1).alias("location"))
     return found.where(F.col("namespace").isin(namespaces)).distinct()
+
+
+def validate_by_hints(nodes: DataFrame, namespaces: list[str], resolve: Resolver, most: int = 100) -> DataFrame:
+    """The error table of documents that name a schema of an allowed namespace, each by its own; at most `most` schemas.
+
+    Schemas are read by the resolver only; a hint that it does not allow is an error, and so are more than `most` of them.
+    """
+    from arborist.schema.xsd import Schema, validate
+
+    hints = schema_locations(nodes, namespaces)
+    places = [r.location for r in hints.select("location").distinct().orderBy("location").limit(most + 1).collect()]
+    if len(places) > most:
+        raise XdmError("FODC0002", f"more than {most} schemas are named")
+    out = None
+    for place in places:
+        text = resolve(place, None)
+        schema = Schema(text.decode() if isinstance(text, bytes) else text, resolve=resolve)
+        found = validate(nodes.join(hints.where(F.col("location") == place).select("doc_id"), "doc_id", "left_semi"), schema)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else nodes.where("false").select("doc_id", "pre", F.lit("").alias("code"), F.lit("").alias("message"), F.col("name_path").alias("path"))

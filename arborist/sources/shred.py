@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborist.xdm import ATTRIBUTE, COLUMNS, COMMENT, DOCUMENT, ELEMENT, NAMESPACE, NODE, PI, TEXT, XML, XdmError
@@ -243,3 +243,34 @@ def attribute_defaults(nodes: DataFrame, defaults: list[tuple[str, str, str]]) -
 
 
 Reader = Callable[[str], bytes]
+
+
+def with_defaults(nodes: DataFrame, defaults: list[tuple[str, str, str]]) -> DataFrame:
+    """The nodes with attributes that have a default and are not there, (element, attribute, value) each, numbered anew.
+
+    A new attribute stands behind those that its element has; nodes behind it move on, and so do the ends of subtrees.
+    """
+    new = attribute_defaults(nodes, defaults).withColumnRenamed("pre", "owner")
+    own = nodes.where(F.col("kind").isin(ATTRIBUTE, NAMESPACE)).groupBy("doc_id", F.col("parent").alias("owner")).agg(F.max("pre").alias("behind"))
+    holders = nodes.select("doc_id", F.col("pre").alias("owner"), F.col("level").alias("__level"), F.col("name_path").alias("__path"), "base_uri")
+    new = new.join(own, ["doc_id", "owner"], "left").join(holders, ["doc_id", "owner"])
+    made = {
+        "pre": F.lit(None), "last": F.lit(None), "level": F.col("__level") + 1, "parent": F.col("owner"), "kind": F.lit(ATTRIBUTE), "uri": F.lit(""), "prefix": F.lit(""),
+        "name_path": F.concat("__path", F.lit("/@"), "local"),
+    }
+    shape = nodes.select(*COLUMNS).schema
+    columns = [made.get(f.name, F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape]
+    rows = nodes.select(*COLUMNS, F.col("pre").alias("__at"), F.lit(0).alias("__new")).unionByName(
+        new.select(*columns, F.coalesce("behind", "owner").alias("__at"), F.lit(1).alias("__new"))
+    )
+    line = Window.partitionBy("doc_id").orderBy("__at", "__new", "local")
+    more = F.sum("__new").over(Window.partitionBy("doc_id", "__at"))
+    rows = rows.withColumn("__pre", (F.row_number().over(line) - 1).cast("int")).withColumn("__more", more)
+    places = rows.where("__new = 0").select("doc_id", F.col("pre").alias("__old"), F.col("__pre").alias("__to"), (F.col("__pre") + F.col("__more")).cast("int").alias("__end"))
+    parents = places.select("doc_id", F.col("__old").alias("parent"), F.col("__to").alias("__parent"))
+    ends = places.select("doc_id", F.col("__old").alias("last"), F.col("__end").alias("__last"))
+    rows = rows.join(parents, ["doc_id", "parent"], "left").join(ends, ["doc_id", "last"], "left")
+    # an attribute or text ends where it stands, even if new attributes follow it
+    leaf = F.col("last").isNull() | ((F.col("last") == F.col("pre")) & (F.col("kind") != ELEMENT))
+    moved = {"pre": F.col("__pre"), "parent": F.col("__parent"), "last": F.when(leaf, F.col("__pre")).otherwise(F.col("__last"))}
+    return rows.select(*[moved.get(c, F.col(c)).alias(c) for c in COLUMNS])

@@ -48,3 +48,48 @@ def test_serialization_round_trip(spark):
     nodes, _ = shred(spark.createDataFrame([(1, text)], "doc_id long, xml string"))
     assert serialize(nodes, declaration=False).first().text == text
     assert serialize(nodes, "text").first().text == "x & y"
+
+
+def test_defaults_are_inserted_in_place(spark):
+    from arborist.sources.shred import with_defaults
+
+    texts = [(1, '<r xmlns:p="urn:p"><a x="1"><b/></a><a x="1" d="own"/>t</r>'), (2, "<b><a/></b>")]
+    nodes, _ = shred(spark.createDataFrame(texts, "doc_id long, xml string"))
+    made = with_defaults(nodes, [("a", "d", "given"), ("b", "e", "E")])
+    assert [r.text for r in serialize(made, declaration=False).orderBy("doc_id").collect()] == [
+        '<r xmlns:p="urn:p"><a x="1" d="given"><b e="E"/></a><a x="1" d="own"/>t</r>', '<b e="E"><a d="given"/></b>',
+    ]
+    wanted, _ = shred(spark.createDataFrame([(r.doc_id, r.text) for r in serialize(made, declaration=False).collect()], "doc_id long, xml string"))
+    shape = lambda df: sorted((r.doc_id, r.pre, r.last, r.level, r.parent, r.kind, r.local, r.value) for r in df.collect())
+    assert shape(made) == shape(wanted)
+
+
+def test_schemas_named_by_documents(spark):
+    import pytest
+
+    from arborist.sources.catalog import map_resolver, validate_by_hints
+    from arborist.xdm import XdmError
+
+    schema = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:n"><xs:element name="n" type="xs:int"/></xs:schema>'
+    text = '<n xmlns="urn:n" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="urn:n {}">{}</n>'
+    docs = spark.createDataFrame([(1, text.format("n.xsd", "1")), (2, text.format("n.xsd", "x")), (3, "<n/>")], "doc_id long, xml string")
+    nodes = shred(docs)[0]
+    found = validate_by_hints(nodes, ["urn:n"], map_resolver({"n.xsd": schema})).collect()
+    assert [(r.doc_id, r.code) for r in found] == [(2, "cvc-datatype-valid.1")]
+    assert validate_by_hints(nodes, ["urn:other"], map_resolver({})).count() == 0
+    with pytest.raises(XdmError):
+        validate_by_hints(nodes, ["urn:n"], map_resolver({}))
+
+
+def test_registered_functions_and_collations(spark):
+    from pyspark.sql import functions as F
+
+    from arborist.functions.strings import register_collation
+    from arborist.plans.registry import register_function
+
+    register_function("urn:mine", "initial", 1, lambda c: F.substr(c, F.lit(1), F.lit(1)))
+    register_collation("urn:plain", lambda c: F.translate(F.lower(c), "éè", "ee"))
+    nodes, _ = shred(spark.createDataFrame([(1, "<r><n>Émile</n><n>Anna</n></r>")], "doc_id long, xml string"))
+    engine = Engine(nodes, {"m": "urn:mine"})
+    assert [r.value for r in engine.xpath("//n/m:initial(.)").orderBy("pos").collect()] == ["É", "A"]
+    assert [r.value for r in engine.xpath("//n/contains(., 'EM', 'urn:plain')").orderBy("pos").collect()] == [True, False]
