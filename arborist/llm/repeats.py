@@ -26,8 +26,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("__doc"), tie.alias("__tie"), binary(text_col).alias("__text"))
 
 
-def local_firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Places of one block: each key's first as it is, the others as seen, their keys replaced by a hash of the place."""
+def local_firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray, equal=None) -> pa.RecordBatch:
+    """Places of one block: each key's first as it is, the others as seen, their keys replaced by a hash of the place.
+
+    `equal` tells for rows, and rows of the firsts of their keys, whether what they stand for is the same; where it is not,
+    the row goes on as a first of its own.
+    """
     order = np.argsort(a)
     same = a[order][1:] == a[order][:-1]
     tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
@@ -39,6 +43,9 @@ def local_firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray, tie: np.ndarray,
     first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
     seen = (doc != doc[first]) | (tie != tie[first]) | (pos != pos[first])
     again = ~seen & ~start  # a repeated row
+    if equal is not None and seen.any():
+        at = np.flatnonzero(seen)
+        seen[at[~equal(order[at], order[first[at]])]] = False
     spread = (doc * 0x9E3779B1 + pos * 0x85EBCA77) & 0x7FFFFFFFFFFF
     columns = [np.where(seen, spread, a), b, doc, tie, pos, seen]
     return pa.RecordBatch.from_arrays([pa.array(x[~again]) for x in columns], names=["a", "b", "doc", "tie", "pos", "seen"])

@@ -4,13 +4,16 @@ A byte goes if a window of `window` bytes that covers it also starts earlier. Th
 
 1. Anchors. The minimum-hash k-mer of every window (a minimizer) depends on the window's bytes only, so equal windows
    have equal anchors at the same distance. A place's context is all that windows over its anchor can reach.
-   Sorted streams over (anchor, context) find places whose whole context occurred before, and the first places of
-   contexts whose anchor has other contexts as well; all other windows are unique or first.
+   Sorted streams over hashes of (anchor, context) find places whose whole context seems to have occurred before, and
+   the first places of contexts whose anchor has other contexts as well; all other windows are unique or first. What
+   seems to have occurred is compared byte by byte: in a block of texts at once, else joined along with its source into
+   spans, whose bytes the source sends.
 2. Suffix arrays. The differing contexts of an anchor lie in one shard: their bytes get a suffix array by
    Larsson-Sadakane refinement in numpy and common prefixes by Kasai's rule, whose runs of `window` or more are equal
    windows. Anchors with more contexts than a shard holds are spread over several shards, whose arrays are merged by
    binary search.
-3. The windows found are joined to their documents as spans.
+3. The windows found are joined to their documents as spans, and spans of other documents are removed as far as they equal
+   their sources for a window or more.
 """
 
 from __future__ import annotations
@@ -294,6 +297,10 @@ def as_spans(d: np.ndarray, t: np.ndarray, p: np.ndarray, window: int):
     return d[new], t[new], p[new], p[last] + window
 
 
+#: Kinds of places: whole contexts compared in their block, those that seem to be elsewhere, and those whose anchor has others.
+SEEN, CLAIM, DISPUTE = range(3)
+
+
 class Classes:
     """Streams places sorted by (anchor, context, place): whole contexts seen before, and first places of contexts in dispute."""
 
@@ -302,7 +309,7 @@ class Classes:
         self.waiting: tuple | None = None  # the first place of an anchor that has had one context so far
 
     def classify(self, batch: pa.RecordBatch):
-        """(doc, tie, pos, anchor, whether in dispute) of the places to report."""
+        """(doc, tie, pos, anchor, kind, first place) of the places to report, of kinds SEEN, CLAIM and DISPUTE."""
         a, c, doc, tie, pos, seen = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
         n = len(a)
         alone = seen
@@ -332,12 +339,58 @@ class Classes:
             self.waiting = None if dispute[last] or alone[last] else (doc[last], tie[last], pos[last], a[last])
         self.first = None if alone[-1] else (a[-1], c[-1], fd[-1], ft[-1], fp[-1])
         at = np.flatnonzero(whole | dispute)
-        out = [doc[at], tie[at], pos[at], a[at], dispute[at]]
+        kind = np.where(dispute, DISPUTE, np.where(seen, SEEN, CLAIM))[at]
+        source = (np.where(kind == CLAIM, x[at], 0) for x in (fd, ft, fp))
+        out = [doc[at], tie[at], pos[at], a[at], kind, *source]
         if extra is not None:
-            out = [np.r_[x, np.array([y], x.dtype)] for x, y in zip(out, (*extra, True), strict=True)]
+            out = [np.r_[x, np.array([y], x.dtype)] for x, y in zip(out, (*extra, DISPUTE, 0, 0, 0), strict=True)]
         return out
 
 
+def equal_contexts(data: np.ndarray, start: np.ndarray, size: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether contexts of some bytes, given by their starts and sizes, are equal pair by pair; data has 8 bytes to spare."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    out = size[one] == size[other]
+    at = np.flatnonzero(out)
+    step = 0
+    while len(at):
+        left = size[one[at]] - step
+        at = at[left > 0]
+        left = left[left > 0]
+        mask = np.where(left >= 8, np.uint64(2**64 - 1), (np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1))
+        same = ((words[start[one[at]] + step] ^ words[start[other[at]] + step]) & mask) == 0
+        out[at[~same]] = False
+        at = at[same]
+        step += 8
+    return out
+
+
+def merged_claims(row: np.ndarray, pos: np.ndarray, doc: np.ndarray, tie: np.ndarray, place: np.ndarray, window: int, width: int):
+    """(row, start, end, doc, tie, start in the source) of claims that adjoin and have one source at one distance."""
+    ahead = place - pos
+    order = np.lexsort((pos, ahead, tie, doc, row))
+    row, pos, doc, tie, ahead = (x[order] for x in (row, pos, doc, tie, ahead))
+    if not len(row):
+        return row, pos, pos, doc, tie, pos
+    new = np.r_[True, pos[1:] - pos[:-1] > window + width - 1]
+    for x in (row, doc, tie, ahead):
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(row)] - 1
+    start = np.maximum(pos[first] - width + 1, 0)
+    return row[first], start, pos[last] + window, doc[first], tie[first], start + ahead[first]
+
+
+def equal_runs(text: bytes, source: bytes, window: int) -> list[tuple[int, int]]:
+    """Where two texts laid side by side are equal for `window` bytes or more."""
+    if text == source:
+        return [(0, len(text))] if len(text) >= window else []
+    n = min(len(text), len(source))
+    same = np.frombuffer(text, np.uint8, n) == np.frombuffer(source, np.uint8, n)
+    edges = np.flatnonzero(np.diff(np.r_[0, same.view(np.int8), 0])).reshape(-1, 2)
+    return [(s, e) for s, e in edges.tolist() if e - s >= window]
+
+
 def _anchor_blocks(batches: Iterator[pa.RecordBatch], window: int, kmer: int):
     held: list[tuple] = []
     size = 0
@@ -356,28 +409,35 @@ def _anchor_blocks(batches: Iterator[pa.RecordBatch], window: int, kmer: int):
 _SPANS = "doc bigint, tie bigint, start bigint, end bigint"
 
 
-def spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot: int = HOT_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc, tie, start, end) spans of bytes to remove, possibly overlapping; docs has columns __doc, __tie and __text."""
+def spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot: int = HOT_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Spans (doc, tie, start, end) of bytes to remove, possibly overlapping, and bytes (doc, tie, start, bytes) to remove where they are found.
+
+    docs has columns __doc, __tie and __text.
+    """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = window - kmer + 1
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
-        rows = 0
+        rows = size = 0
 
         def firsts() -> pa.RecordBatch:
-            return local_firsts(*map(np.concatenate, zip(*parts, strict=True)))
+            *keys, start, length, data = (list(x) for x in zip(*parts, strict=True))
+            data, start, length = np.concatenate([*data, np.zeros(8, np.uint8)]), np.concatenate(start), np.concatenate(length)
+            return local_firsts(*map(np.concatenate, keys), lambda one, other: equal_contexts(data, start, length, one, other))
 
         for held, found in _anchor_blocks(batches, window, kmer):
             if not len(found.at):
                 continue
             doc, tie = (np.array([x[k] for x in held], np.int64)[found.doc] for k in range(2))
-            parts.append((found.anchor.view(np.int64), found.context.view(np.int64), doc, tie, found.at - found.start[found.doc]))
+            place = found.at - found.start[found.doc]
+            parts.append((found.anchor.view(np.int64), found.context.view(np.int64), doc, tie, place, size + found.at - found.left, found.left + found.right, found.data))
             rows += len(doc)
+            size += len(found.data)
             if rows > 2_000_000:
                 yield firsts()
-                parts, rows = [], 0
+                parts, rows, size = [], 0, 0
         if parts:
             yield firsts()
 
@@ -385,17 +445,34 @@ def spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot: int = HO
         state = Classes()
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in state.classify(batch)], names=["doc", "tie", "pos", "anchor", "dispute"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in state.classify(batch)], names=["doc", "tie", "pos", "anchor", "kind", "fd", "ft", "fp"])
+
+    def claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Claims of each document as spans."""
+        kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "fd", "ft", "fs")]))
+        for batch in batches:
+            lists = batch.column(5)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            row, *found = merged_claims(row, *(lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4)), window, width)
+            offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=batch.num_rows))].astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], ["start", "end", "fd", "ft", "fs"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.ListArray.from_arrays(pa.array(offsets), spans).cast(kind)], names=batch.schema.names)
 
     flagged = (
         docs.select("__doc", "__tie", "__text").mapInArrow(places, PLACES)
         .repartition(tasks, "a").sortWithinPartitions("a", "seen", "b", "doc", "tie", "pos")
-        .mapInArrow(classes, "doc bigint, tie bigint, pos bigint, anchor bigint, dispute boolean")
+        .mapInArrow(classes, "doc bigint, tie bigint, pos bigint, anchor bigint, kind bigint, fd bigint, ft bigint, fp bigint")
         .groupBy(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"))
         .agg(
-            F.collect_list(F.when(~F.col("dispute"), F.col("pos"))).alias("whole"),
-            F.collect_list(F.when(F.col("dispute"), F.col("pos"))).alias("pos"),
-            F.collect_list(F.when(F.col("dispute"), F.col("anchor"))).alias("anchor"),
+            F.collect_list(F.when(F.col("kind") == SEEN, F.col("pos"))).alias("whole"),
+            F.collect_list(F.when(F.col("kind") == DISPUTE, F.col("pos"))).alias("pos"),
+            F.collect_list(F.when(F.col("kind") == DISPUTE, F.col("anchor"))).alias("anchor"),
+            F.collect_list(F.when(F.col("kind") == CLAIM, F.struct("pos", "fd", "ft", "fp"))).alias("claims"),
+        )
+        .mapInArrow(
+            claims,
+            "__doc bigint, __tie bigint, whole array<bigint>, pos array<bigint>, anchor array<bigint>, "
+            "claims array<struct<start:bigint,end:bigint,fd:bigint,ft:bigint,fs:bigint>>",
         )
     )
     flagged = cut(flagged)
@@ -431,6 +508,25 @@ def spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot: int = HO
             doc, tie = (batch.column(k).take(pa.array(row)) for k in range(2))
             yield pa.RecordBatch.from_arrays([doc, tie, pa.array(a), anchor, pa.array(parts, pa.binary())], names=["doc", "tie", "start", "anchor", "bytes"])
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes that others claim to repeat."""
+        for batch in arrow_rows(batches, 64):
+            lists = batch.column(1)
+            doc, tie, start, end, fs = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            parts, at = [], 0
+            for text, n in zip(batch.column(0).to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+                parts += [text[s : s + e - b] for s, e, b in zip(fs[at : at + n].tolist(), end[at : at + n].tolist(), start[at : at + n].tolist(), strict=True)]
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(start), pa.array(parts, pa.binary())], names=["doc", "tie", "start", "bytes"])
+
+    claimed = flagged.select("__doc", "__tie", F.explode("claims").alias("c"))
+    wanted = claimed.groupBy(F.col("c.fd").alias("__fd"), F.col("c.ft").alias("__ft")).agg(
+        F.collect_list(F.struct(F.col("__doc").alias("doc"), F.col("__tie").alias("tie"), "c.start", "c.end", "c.fs")).alias("wanted")
+    )
+    wanted = wanted.withColumnsRenamed({"__fd": "__doc", "__ft": "__tie"})
+    sources = docs.select("__doc", "__tie", "__text").join(wanted, ["__doc", "__tie"]).select("__text", "wanted")
+    sources = sources.mapInArrow(slices, "doc bigint, tie bigint, start bigint, bytes binary")
+
     whole = flagged.select("__doc", "__tie", "whole").where(F.size("whole") > 0).mapInArrow(wholes, _SPANS)
     disputed = (
         docs.select("__doc", "__tie", "__text")
@@ -485,7 +581,7 @@ def spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot: int = HO
         first = one.groupBy("w").agg(F.min(F.struct("doc", "tie", "start")).alias("first"))
         again = one.join(first, "w").where(F.struct("doc", "tie", "start") != F.col("first"))
         out = out.union(again.select("doc", "tie", "start", (F.col("start") + window).alias("end")))
-    return out
+    return out, sources
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
@@ -501,7 +597,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         names = [F.when(F.col("__doc") != NULL_ID, F.col("__doc")).alias(id_col)]
     else:
         names = [c for c in docs.columns if c != text_col]
-    found = spans(rows.select("__doc", "__tie", "__text"), window, **options)
+    found, sources = spans(rows.select("__doc", "__tie", "__text"), window, **options)
+    sources = sources.groupBy(F.col("doc").alias("__doc"), F.col("tie").alias("__tie")).agg(F.collect_list(F.struct("start", "bytes")).alias("__claims"))
     found = found.groupBy(F.col("doc").alias("__doc"), F.col("tie").alias("__tie")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     shape = docs.select(*[c for c in docs.columns if c != text_col]).schema
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in shape)
@@ -512,10 +609,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         for batch in arrow_rows(batches):
             k = passed
             sizes, removed, kept = [], [], []
-            for text, found in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True):
+            for text, found, claims in zip(*(batch.column(k + j).to_pylist() for j in range(3)), strict=True):
                 text = text or b""
                 gone: list[list[int]] = []
-                for s, e in sorted((x["start"], min(x["end"], len(text))) for x in found or ()):
+                places = [(x["start"], min(x["end"], len(text))) for x in found or ()]
+                for x in claims or ():
+                    at, source = x["start"], x["bytes"]
+                    places += [(at + s, at + e) for s, e in equal_runs(text[at : at + len(source)], source, window)]
+                for s, e in sorted(places):
                     if gone and s <= gone[-1][1]:
                         gone[-1][1] = max(gone[-1][1], e)
                     else:
@@ -532,5 +633,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 names=[*batch.schema.names[:k], "n_bytes", "removed", "kept"],
             )
 
-    joined = rows.join(found, ["__doc", "__tie"], "left").select(*names, "__text", "__spans")
+    joined = rows.join(found, ["__doc", "__tie"], "left").join(sources, ["__doc", "__tie"], "left").select(*names, "__text", "__spans", "__claims")
     return joined.mapInArrow(cleaned, f"{kinds}n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")

@@ -63,6 +63,34 @@ def test_dedup_equals_brute_force(spark, monkeypatch, options, block):
         assert all(a.end < b.start for a, b in zip(r.removed, r.removed[1:]))
 
 
+def test_contexts_are_compared_by_their_bytes():
+    from arborist.llm.repeats import local_firsts
+
+    rnd = np.random.default_rng(3)
+    parts = [rnd.integers(97, 99, rnd.integers(1, 30), np.uint8).tobytes() for _ in range(60)]
+    parts += parts[:20] + [p + b"x" for p in parts[:20]] + [p[:-1] + b"y" for p in parts[:20]]
+    size = np.array([len(p) for p in parts])
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
+    one, other = (x.ravel() for x in np.meshgrid(np.arange(len(parts)), np.arange(len(parts))))
+    got = suffixes.equal_contexts(data, start, size, one, other)
+    assert got.tolist() == [parts[i] == parts[j] for i, j in zip(one, other)]
+    # every key collides: only rows whose bytes are those of the key's first are taken for repeated
+    n = len(parts)
+    zero = np.zeros(n, np.int64)
+    found = local_firsts(zero, zero, np.arange(n), zero, zero, lambda a, b: suffixes.equal_contexts(data, start, size, a, b))
+    seen = dict(zip(found["doc"].to_pylist(), found["seen"].to_pylist(), strict=True))
+    assert seen == {k: k > 0 and p == parts[0] for k, p in enumerate(parts)}
+
+
+def test_claims_are_removed_only_where_they_equal_their_source():
+    assert suffixes.equal_runs(b"abcdef", b"abcdef", 6) == [(0, 6)] and suffixes.equal_runs(b"abc", b"abc", 4) == []
+    assert suffixes.equal_runs(b"aaXbbbbYcc", b"aaZbbbbWccc", 3) == [(3, 7)]
+    rows, pos = np.array([0, 0, 0, 1, 0]), np.array([5, 30, 200, 5, 31])
+    found = suffixes.merged_claims(rows, pos, np.array([9, 9, 9, 9, 8]), np.zeros(5, np.int64), np.array([15, 40, 210, 5, 31]), 40, 25)
+    assert [x.tolist() for x in found] == [[0, 0, 0, 1], [7, 0, 176, 0], [71, 70, 240, 45], [8, 9, 9, 9], [0, 0, 0, 0], [7, 10, 186, 0]]
+
+
 def test_nulls_repeats_and_equal_ids(spark):
     rnd = random.Random(0)
     passage = "".join(rnd.choice("abcdefgh") for _ in range(130))
