@@ -135,18 +135,16 @@ def judge(
     common = found.select(F.col("host").alias("__host"), parts.alias("__common"))
     rows = docs.withColumn("__host", _host(host_col))
     rows = rows.join(F.broadcast(common) if n <= broadcast_lines else common, "__host", "left")
-    def is_common(line: Column) -> Column:
-        h = _line_hash(line)
-        return F.coalesce(F.array_contains(F.get("__common", place(h)), h), F.lit(False))
-
     raw = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    plain = F.when(F.col("__common").isNull(), F.lit(None)).otherwise(F.filter(raw, lambda x: _has_word(x) & is_common(x)))
-    rows = rows.withColumn("__removed", plain)
+    # each line is hashed once
+    rows = rows.withColumn("__hashes", F.when(F.col("__common").isNotNull(), F.transform(raw, _line_hash)))
+    known = F.transform("__hashes", lambda h: F.array_contains(F.get("__common", place(h)), h))
+    rows = rows.withColumn("__known", F.when(F.exists(known, lambda x: x), known)).drop("__hashes", "__common")
+    gone_line = lambda x, k: _has_word(x) & F.get("__known", k)
+    rows = rows.withColumn("__removed", F.when(F.col("__known").isNotNull(), F.filter(raw, gone_line)))
     rows = rows.withColumn(
         "__clean",
-        F.when(F.size("__removed") > 0, F.array_join(F.filter(raw, lambda x: ~(_has_word(x) & is_common(x))), "\n")).otherwise(
-            F.col(text_col)
-        ),
+        F.when(F.size("__removed") > 0, F.array_join(F.filter(raw, lambda x, k: ~gone_line(x, k)), "\n")).otherwise(F.col(text_col)),
     )
     gone = F.when(F.size("__removed") > 0, F.size(_words(F.array_join("__removed", " ")))).otherwise(0).cast("bigint")
     measured = measures(rows.withColumn("__gone", gone), text_col, (*keep, "__gone", "__clean"))
