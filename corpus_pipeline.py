@@ -23,6 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every component of texts that share 0.8 of their five-word shingles.
 
+    SimHash: fingerprints of those shingles are compared in tiles, and what is near is verified on the shingles themselves.
     Null and empty texts are equal; of rows that repeat an id in a component one stays, and a null id only where its
     whole component has none.
     """
