@@ -342,8 +342,9 @@ def print_edges(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SI
             yield links()
 
     dealt = firsts.select("level", "node", "size", *words).mapInArrow(deal, f"group bigint, side bigint, node bigint, size bigint, {longs}")
-    dealt = dealt.repartition(tasks, "group").sortWithinPartitions("group", "side", "size")
-    return stars.union(dealt.mapInArrow(compare, "u bigint, v bigint")).distinct()
+    # sorted to the last column, as a forest depends on the order, and written once: whoever reads it twice must see one forest
+    dealt = dealt.repartition(tasks, "group").sortWithinPartitions("group", "side", "size", "node")
+    return cut(stars.union(dealt.mapInArrow(compare, "u bigint, v bigint")).distinct())
 
 
 def band_edges(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -119,3 +119,15 @@ def test_fingerprints_of_planted_copies_are_near():
         x, y = (shingles.fingerprint(shingles.shingles(" ".join(w).encode())) for w in (base, other))
         bits = np.bitwise_count(x ^ y)
         assert bits[:2].sum() <= 48 and bits.sum() <= 80
+
+
+def test_edges_do_not_depend_on_the_order_of_rows(spark):
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(edited(rnd, base, 2)).encode()) for k in range(60)]
+    found = []
+    for parts in (1, 6):
+        rnd.shuffle(rows)
+        table = spark.createDataFrame(rows, "node long, text binary").repartition(parts)
+        found.append({tuple(r) for r in shingles.print_edges(table).collect()})
+    assert found[0] == found[1] and len(found[0]) >= 59
