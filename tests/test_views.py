@@ -2,6 +2,7 @@
 
 from arborist.plans.lower import Engine
 from arborist.sources import views
+from arborist.xslt.serialize import serialize, serialize_view
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,3 +31,14 @@ def test_kept_views_have_the_nodes_of_others(spark):
         assert rows(kept.nodes) == rows(make(spark, SMALL).nodes)
         for held in kept.held:
             held.unpersist()
+
+
+def test_texts_of_views_need_no_nodes(spark):
+    for make in (views.orders_xml, views.geo_xml, views.events_xml, views.conv_xml):
+        view = make(spark, SMALL)
+        assert rows(serialize_view(view)) == rows(serialize(view.nodes))
+    view = views.orders_xml(spark, SMALL, 4)
+    plan = serialize_view(view, declaration=False)._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "Generate explode" not in plan
+    for held in view.held:
+        held.unpersist()
