@@ -42,3 +42,29 @@ def test_texts_of_views_need_no_nodes(spark):
     assert "ENSURE_REQUIREMENTS" not in plan and "Generate explode" not in plan
     for held in view.held:
         held.unpersist()
+
+
+def test_ancestors_of_a_large_document_meet_by_spans(spark):
+    from pyspark.sql import functions as F
+
+    from arborist.operators import numbering
+    from arborist.sources.shred import shred
+
+    text = "<r>" + "".join(f"<a><b i='{k}'/></a>" for k in range(300)) + "</r>"
+    nodes = shred(spark.createDataFrame([(1, text)], "doc_id long, xml string"))[0]
+    found = Engine(nodes).table("//b", up="string-join(ancestor-or-self::*/name(), '/')", n="count(ancestor::node())")
+    assert [(r.up, r.n) for r in found.collect()] == [("r/a/b", 3)] * 300
+    assert "span" in found._jdf.queryExecution().executedPlan().toString()
+    made = numbering.level_multiple(nodes, numbering.elements(nodes, "a", "b")).where("local = 'b'").orderBy("pre")
+    assert [list(r.numbers) for r in made.collect()] == [[k + 1, 1] for k in range(300)]
+    assert made._jdf.queryExecution().executedPlan().toString().count("__s#") > 0
+    assert numbering.level_any(nodes, numbering.elements(nodes, "a", "b")).agg(F.max("number")).first()[0] == 599
+
+
+def test_parsed_texts_are_kept_by_document(spark):
+    from arborist.queries import base
+
+    docs = spark.createDataFrame([(k, "<r><a/></r>") for k in range(20)], "doc_id long, xml string")
+    nodes = base.parsed(docs)
+    plan = nodes.groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert nodes.is_cached and "ENSURE_REQUIREMENTS" not in plan and nodes.count() == 60
