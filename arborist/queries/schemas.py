@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborist.queries.base import LINES, Registry, engine, keep, table
+from arborist.queries.base import LINES, Registry, engine, keep, parsed, table
 from arborist.schema import dtd, rng
 from arborist.schema.model import Simple, valid
 from arborist.schema.xsd import Schema, Validator
@@ -126,33 +126,27 @@ def _items(spark, sf_dir):
 
 @R.add("xsd_all", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'O' THEN 'cvc-complex-type.2.4.b' ELSE 'cvc-complex-type.2.4.a' END AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'cvc-datatype-valid.1', 1 FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
 def xsd_all(spark, sf_dir):
-    from arborist.sources.shred import shred
-
     schema = Schema("""<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="o"><xs:complexType><xs:all>
      <xs:element name="a" type="xs:integer"/><xs:element name="b" minOccurs="0"/><xs:element name="c"/></xs:all></xs:complexType></xs:element></xs:schema>""")
-    return _count(Validator(schema, shred(_items(spark, sf_dir))[0]).structure())
+    return _count(Validator(schema, parsed(_items(spark, sf_dir))).structure())
 
 
 @R.add("dtd_validate", "SELECT o_orderkey AS doc_id, 'content' AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def dtd_validate(spark, sf_dir):
     """Orders without a line, whose content the model does not allow."""
-    from arborist.sources.shred import shred
-
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<line>"), F.col("l_returnflag"), F.lit("</line>")))).alias("lines"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")).join(lines, "doc_id", "left")
     texts = orders.select("doc_id", F.concat(F.lit('<order id="'), "doc_id", F.lit('">'), F.coalesce("lines", F.lit("")), F.lit("</order>")).alias("xml"))
-    found = dtd.validate(shred(texts)[0], dtd.parse_dtd("<!ELEMENT order (line+)><!ATTLIST order id CDATA #REQUIRED><!ELEMENT line (#PCDATA)>"))
+    found = dtd.validate(parsed(texts), dtd.parse_dtd("<!ELEMENT order (line+)><!ATTLIST order id CDATA #REQUIRED><!ELEMENT line (#PCDATA)>"))
     return found.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
 @R.add("dtd_attributes", "SELECT CAST(c_custkey AS BIGINT) AS doc_id, code, CAST(1 AS BIGINT) AS n FROM (SELECT c_custkey, 'enumeration' AS code FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') UNION ALL SELECT c_custkey, 'required' FROM customer UNION ALL SELECT c_custkey, 'idref' FROM customer WHERE c_custkey % 2 = 0)")
 def dtd_attributes(spark, sf_dir):
-    from arborist.sources.shred import shred
-
     made = F.concat(F.lit('<c id="x1" seg="'), "c_mktsegment", F.lit('" ref="x'), F.when(F.col("c_custkey") % 2 == 0, "2").otherwise("1"), F.lit('"/>'))
     docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), made.alias("xml"))
     rules = dtd.parse_dtd("<!ELEMENT c EMPTY><!ATTLIST c id ID #REQUIRED seg (BUILDING|MACHINERY) #IMPLIED ref IDREF #IMPLIED must CDATA #REQUIRED>")
-    return dtd.validate(shred(docs)[0], rules).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+    return dtd.validate(parsed(docs), rules).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
 @R.add("rng_validate", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'O' THEN '/o' ELSE '/o/a' END AS path FROM orders WHERE o_orderstatus <> 'F'")
@@ -197,10 +191,8 @@ _SCOPES = _schema("""<xs:element name="o"><xs:complexType><xs:sequence><xs:eleme
 
 
 def _identity(spark, sf_dir, made):
-    from arborist.sources.shred import shred
-
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), made.alias("xml"))
-    return _count(Validator(Schema(_SCOPES), shred(docs)[0]).identity_errors())
+    return _count(Validator(Schema(_SCOPES), parsed(docs)).identity_errors())
 
 
 @R.add("xsd_keyref_scope", "SELECT o_orderkey AS doc_id, 'cvc-identity-constraint.4.3' AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderstatus <> 'F'")
@@ -221,8 +213,6 @@ def xsd_key_values(spark, sf_dir):
 def xsd_two_namespaces(spark, sf_dir):
     """Two types called size, an integer and a truth value, each by its own namespace."""
     from arborist.sources.catalog import map_resolver
-    from arborist.sources.shred import shred
-
     other = _schema('<xs:simpleType name="size"><xs:restriction base="xs:boolean"/></xs:simpleType>', 'targetNamespace="urn:b"')
     body = """<xs:import namespace="urn:b" schemaLocation="b"/><xs:element name="o" xmlns:b="urn:b"><xs:complexType><xs:sequence>
       <xs:element name="n" type="size"/><xs:element name="t" type="b:size"/></xs:sequence></xs:complexType></xs:element>
@@ -231,42 +221,36 @@ def xsd_two_namespaces(spark, sf_dir):
     made = F.when(s == "F", "<n>4</n><t>true</t>").when(s == "O", "<n>true</n><t>4</t>").otherwise("<n>4</n><t>4</t>")
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('<a:o xmlns:a="urn:a">'), made, F.lit("</a:o>")).alias("xml"))
     schema = Schema(_schema(body, 'targetNamespace="urn:a" xmlns="urn:a"'), resolve=map_resolver({"b": other}))
-    return _count(Validator(schema, shred(docs)[0]).structure())
+    return _count(Validator(schema, parsed(docs)).structure())
 
 
 @R.add("xsd_instance_types", "SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'O' THEN 'cvc-complex-type.2.4.b' ELSE 'cvc-elt.4.3' END AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderstatus <> 'F'")
 def xsd_instance_types(spark, sf_dir):
     """xsi:type names a derived type with its content (F), without it (O), or a type that is not derived (P)."""
-    from arborist.sources.shred import shred
-
     body = """<xs:element name="o" type="base"/><xs:complexType name="base"/><xs:complexType name="apart"/><xs:complexType name="more"><xs:complexContent><xs:extension base="base">
       <xs:sequence><xs:element name="v"/></xs:sequence></xs:extension></xs:complexContent></xs:complexType>"""
     s = F.col("o_orderstatus")
     made = F.when(s == "F", 'xsi:type="more"><v/></o>').when(s == "O", 'xsi:type="more"/>').otherwise('xsi:type="apart"/>')
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('<o xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" '), made).alias("xml"))
-    return _count(Validator(Schema(_schema(body)), shred(docs)[0]).structure())
+    return _count(Validator(Schema(_schema(body)), parsed(docs)).structure())
 
 
 @R.add("xsd_alternatives", "SELECT o_orderkey AS doc_id, 'cvc-complex-type.2.4.b' AS code, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'P'")
 def xsd_alternatives(spark, sf_dir):
     """The type depends on an attribute: status P needs a reason."""
-    from arborist.sources.shred import shred
-
     body = """<xs:complexType name="any"><xs:attribute name="status"/></xs:complexType><xs:complexType name="held"><xs:complexContent><xs:extension base="any">
       <xs:sequence><xs:element name="reason"/></xs:sequence></xs:extension></xs:complexContent></xs:complexType>
       <xs:element name="o" type="any"><xs:alternative test="@status = 'P'" type="held"/></xs:element>"""
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('<o status="'), "o_orderstatus", F.lit('"/>')).alias("xml"))
-    return _count(Validator(Schema(_schema(body)), shred(docs)[0]).structure())
+    return _count(Validator(Schema(_schema(body)), parsed(docs)).structure())
 
 
 @R.add("xsd_wildcards", "SELECT o_orderkey AS doc_id, code, CAST(1 AS BIGINT) AS n FROM (SELECT o_orderkey, 'cvc-complex-type.2.4.a' AS code FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'cvc-datatype-valid.1' FROM orders WHERE o_orderstatus = 'P')")
 def xsd_wildcards(spark, sf_dir):
     """A lax wildcard of one namespace and names without one: F keeps it, O has another namespace, P a declared element that is not valid."""
-    from arborist.sources.shred import shred
-
     body = """<xs:element name="known" type="xs:int"/><xs:element name="o"><xs:complexType><xs:sequence>
       <xs:any namespace="urn:x ##local" processContents="lax" maxOccurs="unbounded"/></xs:sequence></xs:complexType></xs:element>"""
     s = F.col("o_orderstatus")
     made = F.when(s == "F", '<o><x:a xmlns:x="urn:x"/><known>1</known></o>').when(s == "O", '<o><y:a xmlns:y="urn:y"/></o>').otherwise("<o><known>x</known></o>")
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), made.alias("xml"))
-    return _count(Validator(Schema(_schema(body)), shred(docs)[0]).structure())
+    return _count(Validator(Schema(_schema(body)), parsed(docs)).structure())
